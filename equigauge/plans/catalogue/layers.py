@@ -34,9 +34,9 @@ def cohort_flags(d) -> DataFrame:
 
 
 @query(on_layers("""
-SELECT year, month, count(*) AS cases, count_if(severe) AS severe, sum(death) AS deaths,
+SELECT year, month, count(*) AS cases, count_if(severe) AS severe, CAST(sum(death) AS BIGINT) AS deaths,
        CAST(sum(CAST(cost AS DECIMAL(18, 2))) AS DOUBLE) AS cost,
-       sum(stay_days) AS stay_days, count(band) AS banded
+       CAST(sum(stay_days) AS BIGINT) AS stay_days, count(band) AS banded
 FROM bronze GROUP BY year, month"""))
 def cohort_layer(d) -> DataFrame:
     """The cleaned cohort layer, by month."""
@@ -65,8 +65,9 @@ def coded_age_bands(d) -> DataFrame:
 
 
 @query(on_layers("""
-SELECT code, year, sex, band, cases, severe, deaths, CAST(cost AS DOUBLE) AS cost, stay_days,
-       age_sum, age_known FROM silver"""))
+SELECT code, year, sex, band, cases, CAST(severe AS BIGINT) AS severe,
+       CAST(deaths AS BIGINT) AS deaths, CAST(cost AS DOUBLE) AS cost,
+       CAST(stay_days AS BIGINT) AS stay_days, age_sum, age_known FROM silver"""))
 def silver_rollup(d) -> DataFrame:
     return rounded(d.silver, 2, "cost")
 

@@ -35,7 +35,7 @@ def text_cleaning(d) -> DataFrame:
 
 
 @query("""
-SELECT year(o_orderdate) AS year,
+SELECT CAST(year(o_orderdate) AS INTEGER) AS year,
        round(sum(CASE WHEN o_orderkey % 11 <> 0 THEN round(o_totalprice, 2) END), 2) AS total,
        count_if(o_orderkey % 11 = 0) AS unreadable
 FROM orders GROUP BY 1""")
@@ -62,7 +62,7 @@ def lenient_numbers(d) -> DataFrame:
 
 
 @query("""
-SELECT year(o_orderdate) AS year, round(sum(o_totalprice), 2) AS total,
+SELECT CAST(year(o_orderdate) AS INTEGER) AS year, round(sum(o_totalprice), 2) AS total,
        min(o_totalprice) AS smallest, max(o_totalprice) AS largest
 FROM orders GROUP BY 1""")
 def locale_numbers(d) -> DataFrame:
@@ -140,8 +140,8 @@ def file_names(d) -> DataFrame:
 
 
 @query("""
-SELECT l_returnflag, sum(CAST(round(l_quantity * 4 / 8) AS BIGINT)) AS half_up,
-       sum(CAST(round_even(l_quantity * 4 / 8, 0) AS BIGINT)) AS half_even
+SELECT l_returnflag, CAST(sum(round(l_quantity * 4 / 8)) AS BIGINT) AS half_up,
+       CAST(sum(round_even(l_quantity * 4 / 8, 0)) AS BIGINT) AS half_even
 FROM lineitem GROUP BY l_returnflag""")
 def rounding_rules(d) -> DataFrame:
     """Half-up rounding of SQL against half-even rounding of published tables."""

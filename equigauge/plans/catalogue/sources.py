@@ -244,10 +244,10 @@ def census_bands(d) -> DataFrame:
 
 
 @query(on_layers("""
-SELECT entity, year, source, coverage FROM coverage"""))
+SELECT entity, year, source, round(coverage, 6) AS coverage FROM coverage"""))
 def coverage_two_layouts(d) -> DataFrame:
     """Two coverage series with their own fields and date layouts to yearly means."""
-    return d.coverage.select("entity", "year", "source", "coverage")
+    return rounded(d.coverage.select("entity", "year", "source", "coverage"))
 
 
 _AREA_BY_NATION = dict(enumerate(list(STATE_BY_CODE)[:25]))
@@ -362,7 +362,7 @@ def stream_ingest(d) -> DataFrame:
 
 
 @query(on_layers("""
-SELECT year, band, count(*) AS cases, count_if(severe) AS severe, sum(death) AS deaths
+SELECT year, band, count(*) AS cases, count_if(severe) AS severe, CAST(sum(death) AS BIGINT) AS deaths
 FROM bronze GROUP BY year, band"""))
 def stream_cohort(d) -> DataFrame:
     """The cohort transform on a stream of record files."""

@@ -114,11 +114,14 @@ SELECT period,
          + (count(*) OVER (PARTITION BY period, coverage) - 1) / 2.0 AS rx,
        rank() OVER (PARTITION BY period ORDER BY crude_rate)
          + (count(*) OVER (PARTITION BY period, crude_rate) - 1) / 2.0 AS ry
-FROM indicators WHERE coverage IS NOT NULL AND crude_rate IS NOT NULL)
+FROM (SELECT period, round(coverage, 9) AS coverage, round(crude_rate, 9) AS crude_rate
+      FROM indicators) WHERE coverage IS NOT NULL AND crude_rate IS NOT NULL)
 SELECT period, count(*) AS n, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY period"""))
 def coverage_and_crude_rate(d) -> DataFrame:
     """Coverage against the crude rate, inside each period."""
-    return rounded(context_correlation(_indicators(d), "coverage", "crude_rate", min_rows=30))
+    # Rounded first, so that equal means tie whatever order they were added up in.
+    steady = rounded(_indicators(d), 9)
+    return rounded(context_correlation(steady, "coverage", "crude_rate", min_rows=30))
 
 
 @query(on_layers(""", r AS (
@@ -163,7 +166,7 @@ def coverage_context_table(d) -> DataFrame:
 @query(on_layers("""
 SELECT CASE WHEN year BETWEEN 1997 AND 2000 THEN 'mixed' ELSE 'single' END AS period,
        count(DISTINCT source) AS sources
-FROM coverage GROUP BY 1 HAVING count(DISTINCT source) > 1"""))
+FROM coverage WHERE year <= 2000 GROUP BY 1 HAVING count(DISTINCT source) > 1"""))
 def mixed_coverage_sources(d) -> DataFrame:
     """Year spans whose coverage comes from two methods and may not be compared."""
     spans = d.coverage.withColumn(

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from equigauge.config import SCHEMES, SEX_BY_RECORD_CODE, Bands, Block, Period, Study
 from equigauge.operators.cohort import to_bronze
@@ -45,8 +46,15 @@ TABLES_STUDY = Study(
 )
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Its footer schema is read once per path and process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def entity_code(custkey: Column) -> Column:
@@ -147,7 +155,7 @@ class Layers:
             size != 50, F.concat(F.lit(" "), F.lower(F.substring("p_type", 1, 3)), F.lit("0 "))
         )
         sex = (
-            F.when(F.round(F.col("l_tax") * 100) == 8, "9")
+            F.when(F.col("l_tax") > 0.075, "9")
             .when(F.col("l_linestatus") == "F", "1")
             .otherwise("3")
         )
@@ -221,7 +229,7 @@ class Layers:
     @cached_property
     def coverage(self) -> DataFrame:
         """entity, year, source, coverage."""
-        return expand_code(annual_coverage(self.coverage_monthly, digits=6), self.lookup).dropna(
+        return expand_code(annual_coverage(self.coverage_monthly, digits=None), self.lookup).dropna(
             subset=["entity"]
         )
 

@@ -94,10 +94,11 @@ def union_coverage(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def annual_coverage(monthly: DataFrame, digits: int = 2) -> DataFrame:
+def annual_coverage(monthly: DataFrame, digits: int | None = 2) -> DataFrame:
     """Mean of the monthly values per code, year and source."""
+    mean = F.avg("coverage")
     return monthly.groupBy("code", "year", "source").agg(
-        F.round(F.avg("coverage"), digits).alias("coverage")
+        (mean if digits is None else F.round(mean, digits)).alias("coverage")
     )
 
 
