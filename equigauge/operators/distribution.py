@@ -38,9 +38,11 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     ends = df.agg(
         F.struct(F.min(x).alias("low"), F.max(x).alias("high"))
     ).scalar()
-    spot = F.least(F.width_bucket(x, ends["low"], ends["high"], F.lit(bins)), F.lit(bins).cast("long"))
-    # A constant column has no width: everything is in the first bin.
-    spot = F.when(x.isNotNull(), F.coalesce(spot, F.lit(1).cast("long")))
+    # A constant column has no width (null bucket): everything is in the first bin.
+    bucket = F.coalesce(
+        F.width_bucket(x, ends["low"], ends["high"], F.lit(bins)), F.lit(1).cast("long")
+    )
+    spot = F.when(x.isNotNull(), F.least(bucket, F.lit(bins).cast("long")))
     counts = df.select(spot.alias("bin")).agg(
         F.array(*[F.count_if(F.col("bin") == i) for i in range(1, bins + 1)]).alias("counts")
     )

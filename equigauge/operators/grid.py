@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
 from typing import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from equigauge.config import Study
 from equigauge.operators import CELL, GOLD_COLUMNS, MEASURES
 
 
@@ -48,15 +51,27 @@ def dense_grid(
     return gold.select(*[c for c in GOLD_COLUMNS if c in gold.columns])
 
 
-def grid_size(gold: DataFrame) -> DataFrame:
-    """Rows of the grid against the product of its distinct keys."""
-    sizes = gold.agg(
-        F.count("*").alias("rows"),
-        *[F.countDistinct(k).alias(f"n_{k}") for k in CELL],
+def grid_size(gold: DataFrame, study: Study) -> DataFrame:
+    """Rows of the grid against the product of its keys.
+
+    The small keys have known values, so their presence is a set of flags; counting several
+    distinct columns at once would instead multiply the rows of the grid.
+    """
+    known = {"year": study.years, "sex": study.sexes, "band": study.bands.labels}
+    flags = {f"{k}_{i}": F.col(k) == v for k, vs in known.items() for i, v in enumerate(vs)}
+    entities = gold.groupBy("entity").agg(
+        F.count("*").alias("rows"), *[F.bool_or(c).alias(n) for n, c in flags.items()]
+    )
+    seen = entities.agg(
+        F.sum("rows").alias("rows"),
+        F.count("entity").alias("n_entity"),
+        *[F.bool_or(n).cast("long").alias(n) for n in flags],
+    )
+    present = lambda k: reduce(add, [F.col(n) for n in flags if n.startswith(f"{k}_")])
+    sizes = seen.select(
+        "rows", "n_entity", *[present(k).alias(f"n_{k}") for k in ("year", "sex", "band")]
     )
-    expected = F.lit(1)
-    for k in CELL:
-        expected = expected * F.col(f"n_{k}")
+    expected = F.col("n_entity") * F.col("n_year") * F.col("n_sex") * F.col("n_band")
     return sizes.withColumn("expected", expected).withColumn(
         "complete", F.col("rows") == F.col("expected")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
 from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -185,14 +187,17 @@ def population_contract(
     """(rule, violations) rows for a population table; all rules in one aggregation."""
     total = F.coalesce(F.sum("population"), F.lit(0))
     off = lambda cond: F.when(cond, F.lit(0)).otherwise(F.lit(1)).cast("long")
+    # Flags per known value: several distinct counts at once would multiply the rows.
+    absent = lambda name, values: reduce(
+        add,
+        [off(F.coalesce(F.bool_or(F.col(name) == v), F.lit(False))) for v in values],
+    )
     rules: dict[str, Column] = {
         "key_length": F.count_if(~F.coalesce(F.length("entity") == key_length, F.lit(False))),
         "unknown_band": F.count_if(~F.coalesce(F.col("band").isin(*bands.labels), F.lit(False))),
-        "missing_band": F.lit(len(bands.labels)).cast("long")
-        - F.countDistinct(F.when(F.col("band").isin(*bands.labels), F.col("band"))),
+        "missing_band": absent("band", bands.labels),
         "unknown_sex": F.count_if(~F.coalesce(F.col("sex").isin(*sexes), F.lit(False))),
-        "missing_sex": F.lit(len(sexes)).cast("long")
-        - F.countDistinct(F.when(F.col("sex").isin(*sexes), F.col("sex"))),
+        "missing_sex": absent("sex", sexes),
         "negative": F.count_if(F.col("population") < 0),
         "regions": off(F.countDistinct("region") == regions),
     }

@@ -134,7 +134,7 @@ SELECT count(*) AS rows, count(DISTINCT entity) AS n_entity, count(DISTINCT year
          * count(DISTINCT band) AS complete
 FROM gold"""))
 def grid_size_check(d) -> DataFrame:
-    return grid_size(d.gold)
+    return grid_size(d.gold, d.study)
 
 
 @query(on_layers("""
@@ -280,7 +280,7 @@ SELECT e.entity, e.state FROM entities e
 WHERE NOT EXISTS (SELECT 1 FROM silver s WHERE s.code = e.code AND s.year = 1996)"""))
 def entities_without_events(d) -> DataFrame:
     """Key difference: entities with no event in the base year."""
-    seen = d.bronze.filter(F.col("year") == d.study.base.years[0]).select("code")
+    seen = d.bronze.filter(F.col("year") == d.study.base.years[0]).select("code").distinct()
     return d.entities.join(seen, "code", "left_anti").select("entity", "state")
 
 
@@ -290,7 +290,7 @@ WHERE EXISTS (SELECT 1 FROM silver s WHERE s.code = e.code AND s.year = 1996)
 GROUP BY e.state"""))
 def entities_with_events(d) -> DataFrame:
     """Membership as a semi join."""
-    seen = d.bronze.filter(F.col("year") == d.study.base.years[0]).select("code")
+    seen = d.bronze.filter(F.col("year") == d.study.base.years[0]).select("code").distinct()
     return d.entities.join(seen, "code", "left_semi").groupBy("state").agg(
         F.count("*").alias("entities")
     )
@@ -305,5 +305,5 @@ def distinct_keys(d) -> DataFrame:
 SELECT code FROM silver WHERE year = 1996 EXCEPT SELECT code FROM silver WHERE year = 2000"""))
 def key_difference(d) -> DataFrame:
     """Set minus of keys: codes seen in one year and not in another."""
-    codes = lambda y: d.bronze.filter(F.col("year") == y).select("code")
+    codes = lambda y: d.bronze.filter(F.col("year") == y).select("code").distinct()
     return codes(1996).subtract(codes(2000))

@@ -117,7 +117,7 @@ def crosstab_to_long(
         F.split(F.col(column), r"\r?\n"), lambda line: F.startswith(line, F.lit('"'))
     )
     tables = files.select(F.transform(lines, unquote).alias("rows")).filter(F.size("rows") > 1)
-    head = F.element_at(F.col("rows"), 1)
+    head = F.try_element_at(F.col("rows"), F.lit(1))
     years = F.filter(
         F.slice(head, F.lit(2), F.size(head)), lambda y: F.regexp_like(y, F.lit(r"^\d+$"))
     )
