@@ -59,8 +59,13 @@ def entity_components(cells: DataFrame, standard: DataFrame, study: Study) -> Da
 
 
 def region_components(cells: DataFrame, standard: DataFrame, study: Study) -> DataFrame:
-    """The same by region, over all entities: the ranking cut does not apply here."""
-    extra = [*_totals(), F.avg(nan_to_null(F.col("coverage"))).alias("coverage")]
+    """The same by region, over all entities: the ranking cut does not apply here.
+
+    ``cells`` may be the grid, or `additive_cells`, which carry no coverage.
+    """
+    extra = _totals()
+    if "coverage" in cells.columns:
+        extra.append(F.avg(nan_to_null(F.col("coverage"))).alias("coverage"))
     rates = standardize(
         with_period(cells, study), ["region", "period"], standard, study, extra=extra
     )

@@ -27,9 +27,15 @@ def roll_up(bronze: DataFrame, keys: Sequence[str] = SILVER_KEYS) -> DataFrame:
     )
 
 
-def code_lookup(entities: DataFrame, length: int) -> DataFrame:
-    """Short code -> full entity code, from one row per entity (see `duplicate_codes`)."""
-    return entities.select(F.substring(strip(F.col("entity")), 1, length).alias("code"), "entity")
+def code_lookup(
+    entities: DataFrame, length: int, attributes: Sequence[str] = ()
+) -> DataFrame:
+    """Short code -> full entity code and its attributes, from one row per entity.
+
+    See `duplicate_codes` for the check that short codes are unique.
+    """
+    short = F.substring(strip(F.col("entity")), 1, length)
+    return entities.select(short.alias("code"), "entity", *attributes)
 
 
 def duplicate_codes(lookup: DataFrame) -> DataFrame:

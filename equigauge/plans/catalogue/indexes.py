@@ -39,7 +39,7 @@ SELECT round(sum(CAST(c AS DOUBLE) / p * w) * 100000, 6) AS std_rate,
 FROM b JOIN weights USING (band)"""))
 def national_standard_rate(d) -> DataFrame:
     """One strict rate for the whole grid."""
-    return rounded(standard_rate(d.gold, d.standard, d.study, empty_band="error"))
+    return rounded(standard_rate(d.cells(), d.standard, d.study, empty_band="error"))
 
 
 @query(on_layers(""", b AS (
@@ -50,26 +50,26 @@ SELECT round(sum(CAST(c AS DOUBLE) / p * w) * 100000, 6) AS std_rate,
 FROM b JOIN weights USING (band)"""))
 def rate_with_missing_bands(d) -> DataFrame:
     """Two bands are absent: they add nothing, and the others do not take over their weight."""
-    cells = d.gold.filter(~F.col("band").isin("<8", "43+"))
+    cells = d.cells().filter(~F.col("band").isin("<8", "43+"))
     return rounded(standard_rate(cells, d.standard, d.study, empty_band="zero"))
 
 
 @query(on_layers(_rates_sql("state, year")))
 def state_year_standard_rates(d) -> DataFrame:
-    out = standardize(d.gold, ["state", "year"], d.standard, d.study, extra=[big("cases")])
+    out = standardize(d.cells(), ["state", "year"], d.standard, d.study, extra=[big("cases")])
     return rounded(out.drop("problem"))
 
 
 @query(on_layers(_rates_sql("region, sex", "year IN (2000, 2001)")))
 def region_sex_standard_rates(d) -> DataFrame:
-    cells = d.grid(d.study.current.years)
+    cells = d.cells(d.study.current.years)
     out = standardize(cells, ["region", "sex"], d.standard, d.study, extra=[big("cases")])
     return rounded(out.drop("problem"))
 
 
 @query(on_layers(_rates_sql("entity").replace(", CAST(sum(c) AS BIGINT) AS cases", "")))
 def entity_standard_rates(d) -> DataFrame:
-    return rounded(standardize_by_entity(d.gold, d.standard, d.study).drop("problem"))
+    return rounded(standardize_by_entity(d.cells(), d.standard, d.study).drop("problem"))
 
 
 @query(on_layers(""", holed AS (
@@ -86,7 +86,7 @@ def standardization_problems(d) -> DataFrame:
     gone = (F.col("state") == "NATION_3") | (
         (F.col("state") == "NATION_5") & (F.col("band") == "8-14")
     )
-    cells = d.grid([1996]).withColumn(
+    cells = d.cells([1996]).withColumn(
         "population", F.when(gone, F.lit(0)).otherwise(F.col("population"))
     )
     return standardize(cells, ["state"], d.standard, d.study).select("state", "problem")

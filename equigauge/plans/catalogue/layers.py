@@ -209,7 +209,7 @@ FROM gold WHERE region IN ('ASIA', 'EUROPE') AND sex = 'F' AND year IN (1996, 20
 GROUP BY ALL"""))
 def sliced_grid(d) -> DataFrame:
     """Equality filters put together, as slicers do."""
-    cells = slice_by(d.gold, region=["ASIA", "EUROPE"], sex="F", year=[1996, 2000], state=None)
+    cells = slice_by(d.cells(), region=["ASIA", "EUROPE"], sex="F", year=[1996, 2000], state=None)
     return cells.groupBy("region", "sex", "year").agg(big("cases"), big("population"))
 
 
@@ -235,7 +235,7 @@ def year_blocks(d) -> DataFrame:
     """Years in blocks (the last takes all other years), sorted by their order column."""
     year = F.col("year")
     return (
-        d.gold.groupBy(
+        d.cells().groupBy(
             block_order(year, d.study).alias("block_order"),
             block_of_year(year, d.study).alias("block"),
             period_of_year(year, d.study).alias("period"),
@@ -251,7 +251,7 @@ SELECT state, CAST(sum(cases) AS BIGINT) AS cases, CAST(sum(severe) AS BIGINT) A
 FROM gold GROUP BY state HAVING sum(cases) >= 100"""))
 def volume_floor(d) -> DataFrame:
     """A condition on an aggregate."""
-    out = d.gold.groupBy("state").agg(
+    out = d.cells().groupBy("state").agg(
         big("cases"), big("severe"), ratio_of_sums("severe", "cases", 100.0).alias("severe_pct")
     )
     return rounded(out.filter(F.col("cases") >= 100))
@@ -266,9 +266,8 @@ GROUP BY t.block, e.region"""))
 def star_join(d) -> DataFrame:
     """Facts against both dimensions. Facts are added up by entity and year first."""
     facts = d.events.groupBy("entity", "year").agg(big("cases"))
-    time = d.gold.select("year").distinct().select(
-        "year", block_of_year(F.col("year"), d.study).alias("block")
-    )
+    years = d.table("orders").select(F.year("o_orderdate").alias("year")).distinct()
+    time = years.select("year", block_of_year(F.col("year"), d.study).alias("block"))
     places = d.entities.select("entity", "region")
     return facts.join(places, "entity").join(time, "year").groupBy("block", "region").agg(
         big("cases")

@@ -116,26 +116,35 @@ WHERE year(o_orderdate) >= 2000 AND o_orderkey % 10 <> 0
 GROUP BY 1, 2, 3""")
 def file_names(d) -> DataFrame:
     """State, year and month from file names; names of other kinds and old years drop out."""
-    state = F.lpad("c_nationkey", 2, "0")
-    ending = F.date_format("o_orderdate", "yyMM")
-    named = (
+    # Orders of one customer and month count as one row before they meet the customers.
+    months = (
         d.table("orders")
         .filter(F.year("o_orderdate") >= 2000)
-        .join(d.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy(
+            "o_custkey",
+            F.date_format("o_orderdate", "yyMM").alias("ending"),
+            (F.col("o_orderkey") % 10 == 0).alias("other"),
+        )
+        .agg(F.count("*").alias("n"))
+    )
+    state = F.lpad("c_nationkey", 2, "0")
+    named = (
+        months.join(d.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(d.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             "n_name",
-            F.when(F.col("o_orderkey") % 10 == 0, F.concat(F.lit("XX"), ending))
-            .otherwise(F.concat(F.lit("rd"), state, ending, F.lit(".dbc")))
+            "n",
+            F.when(F.col("other"), F.concat(F.lit("XX"), "ending"))
+            .otherwise(F.concat(F.lit("rd"), state, "ending", F.lit(".dbc")))
             .alias("file"),
         )
     )
     parts = file_name_parts(F.col("file"))
     return (
-        named.select("n_name", parts["year"].alias("year"), parts["month"].alias("month"))
+        named.select("n_name", "n", parts["year"].alias("year"), parts["month"].alias("month"))
         .filter(F.col("year").isNotNull())
         .groupBy("year", "month", F.col("n_name").alias("state"))
-        .agg(F.count("*").alias("files"))
+        .agg(F.sum("n").alias("files"))
     )
 
 

@@ -263,12 +263,16 @@ GROUP BY 1, 2"""))
 def crosstab_totals(d) -> DataFrame:
     """Crosstab text (areas down, years across, dashes and thousands marks) to rows."""
     years = d.study.years
-    counts = (
+    of_customer = (
         d.table("orders")
-        .join(d.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy("c_nationkey")
+        .groupBy("o_custkey")
         .agg(*[F.count_if(F.year("o_orderdate") == y).alias(str(y)) for y in years])
     )
+    counts = (
+        of_customer.join(d.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy("c_nationkey")
+        .agg(*[F.sum(str(y)).alias(str(y)) for y in years])
+    )
     area = F.try_element_at(
         F.create_map(*[F.lit(v) for kv in _AREA_BY_NATION.items() for v in kv]), "c_nationkey"
     )
@@ -291,7 +295,8 @@ def crosstab_totals(d) -> DataFrame:
 
 
 def _report(d, position: int) -> DataFrame:
-    return d.spark.sql(sql_statements(SQL_FILE)[position].replace("FROM gold", "FROM {gold}"), gold=d.gold)
+    text = sql_statements(SQL_FILE)[position].replace("FROM gold", "FROM {gold}")
+    return d.spark.sql(text, gold=d.cells())
 
 
 @query(on_layers("""

@@ -98,8 +98,10 @@ _PAIRS_SQL = " UNION ALL ".join(
 
 
 def _indicators(d) -> DataFrame:
-    cells = with_period(d.grid(d.period_years, coverage=True), d.study)
-    return reports.period_indicators(cells)
+    cells = with_period(d.cells(d.period_years), d.study)
+    return reports.period_indicators(cells).join(
+        d.period_coverage, ["entity", "period"], "left"
+    )
 
 
 @query(on_layers(_INDICATORS_SQL + _PAIRS_SQL))
@@ -187,7 +189,7 @@ FROM gold GROUP BY entity, region)
 @query(on_layers(_CRUDE_SQL + """
 SELECT entity, region, cases, population, round(crude_rate, 6) AS crude_rate FROM crude"""))
 def entity_crude_rates(d) -> DataFrame:
-    return rounded(reports.entity_crude_rates(d.gold))
+    return rounded(reports.entity_crude_rates(d.cells()))
 
 
 @query(on_layers(_CRUDE_SQL + """, ends AS (
@@ -201,7 +203,7 @@ SELECT CAST(b.bin AS INTEGER) AS bin, round(low + (b.bin - 1) * (high - low) / 5
 FROM range(1, 51) b(bin) CROSS JOIN ends LEFT JOIN n ON n.bin = b.bin"""))
 def crude_rate_histogram(d) -> DataFrame:
     """Distribution of entity rates in 50 bins, empty bins shown."""
-    return rounded(histogram(reports.entity_crude_rates(d.gold), "crude_rate", 50))
+    return rounded(histogram(reports.entity_crude_rates(d.cells()), "crude_rate", 50))
 
 
 @query(on_layers(""", ry AS (
@@ -219,7 +221,7 @@ SELECT region, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) A
 FROM ry JOIN q USING (region) GROUP BY region, n, q1, median, q3"""))
 def region_rate_boxes(d) -> DataFrame:
     """Spread of yearly rates within each region."""
-    return rounded(box_summary(reports.region_year_rates(d.gold), ["region"], "crude_rate"))
+    return rounded(box_summary(reports.region_year_rates(d.cells()), ["region"], "crude_rate"))
 
 
 @query(on_layers("""
@@ -272,7 +274,7 @@ SELECT state, CAST(sum(cases) AS BIGINT) AS cases,
 FROM gold WHERE year = 1996 GROUP BY state"""))
 def chosen_measures(d) -> DataFrame:
     """Two measures of one year by state; other columns are never read."""
-    return rounded(measures(d.grid([1996]), ["state"], ["cases", "severe_frac"]), 4)
+    return rounded(measures(d.cells([1996]), ["state"], ["cases", "severe_frac"]), 4)
 
 
 @query(on_layers("""
@@ -297,7 +299,7 @@ FROM sized, cuts GROUP BY cut{group}"""
 
 
 def _sized(d) -> DataFrame:
-    return d.gold.groupBy("entity", "region").agg(
+    return d.cells().groupBy("entity", "region").agg(
         F.sum("cases").cast("long").alias("total_cases"), big("population")
     )
 

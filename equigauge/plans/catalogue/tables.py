@@ -138,12 +138,12 @@ def export_round_trip(d) -> DataFrame:
     back = read_locale_csv(d.spark, path, facts.columns, numbers)
     names = d.entities.filter(F.col("c_custkey") % 500 != 499).select("entity", "name")
     entities = d.entities.select("entity").join(names, "entity", "left")
-    return export_checks(d.gold, back, entities)
+    return export_checks(d.cells(), back, entities)
 
 
 @query(on_layers("SELECT year, CAST(sum(cases) AS BIGINT) AS cases FROM gold GROUP BY year"))
 def national_series(d) -> DataFrame:
-    return reports.national_series(d.gold)
+    return reports.national_series(d.cells())
 
 
 @query(on_layers(""", b AS (
@@ -164,7 +164,7 @@ SELECT b.block_order, b.block, b.years, round(b.cases_per_year, 6) AS cases_per_
 FROM b, b f WHERE f.block_order = 1"""))
 def block_comparison(d) -> DataFrame:
     """Blocks as yearly averages, with their change against the first."""
-    return rounded(reports.block_table(d.gold, d.study))
+    return rounded(reports.block_table(d.cells(), d.study))
 
 
 @query(on_layers(""", g AS (
@@ -183,7 +183,7 @@ SELECT round((CAST(c1 AS DOUBLE) / c0 - 1) * 100, 5) AS cases_growth_pct,
        round((CAST(s1 AS DOUBLE) / s0 - 1) / (CAST(c1 AS DOUBLE) / c0 - 1), 5) AS severe_to_cases
 FROM g"""))
 def growth_of_severity(d) -> DataFrame:
-    return rounded(reports.growth(d.grid([1996, 2000]), 1996, 2000), 5)
+    return rounded(reports.growth(d.cells([1996, 2000]), 1996, 2000), 5)
 
 
 @query(on_layers(""", b AS (
@@ -251,4 +251,4 @@ SELECT year, CAST(sum(cost) AS DOUBLE) AS cost, CAST(sum(stay_days) AS BIGINT) A
        round(CAST(sum(cost) AS DOUBLE) / sum(cases), 4) AS cost_per_case
 FROM gold GROUP BY year"""))
 def cost_and_bed_days(d) -> DataFrame:
-    return rounded(rounded(reports.totals(d.gold), 4, "cost_per_case"), 2, "cost")
+    return rounded(rounded(reports.totals(d.cells()), 4, "cost_per_case"), 2, "cost")

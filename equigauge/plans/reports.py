@@ -36,12 +36,11 @@ def region_year_rates(gold: DataFrame) -> DataFrame:
 
 
 def period_indicators(cells: DataFrame) -> DataFrame:
-    """Crude indicators per entity and period. ``cells`` carries period and coverage."""
+    """Crude indicators per entity and period, from cells that carry their period."""
     return cells.groupBy("entity", "period").agg(
         ratio_of_sums("cases", "population", 100_000.0).alias("crude_rate"),
         ratio_of_sums("severe", "cases").alias("severe_frac"),
         ratio_of_sums("deaths", "cases").alias("death_frac"),
-        F.avg("coverage").alias("coverage"),
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from equigauge.config import SCHEMES, SEX_BY_RECORD_CODE, Bands, Block, Period, Study
 from equigauge.operators.cohort import to_bronze
-from equigauge.operators.grid import dense_grid
+from equigauge.operators.grid import additive_cells, dense_grid
 from equigauge.operators.export import wide_index
 from equigauge.operators.profiles import (
     entity_components, entity_components_sparse, region_components, sex_profile, with_period,
@@ -242,6 +242,14 @@ class Layers:
             self.coverage if coverage else None,
         )
 
+    def cells(self, years=None) -> DataFrame:
+        """Rows for sums over the grid, by any keys, without building it."""
+        lookup = code_lookup(self.entities, CODE_LENGTH, ["state", "region"])
+        events = label_sex(expand_code(self.silver, lookup), SEX_BY_RECORD_CODE)
+        return additive_cells(
+            self.census, self.study.years if years is None else years, events
+        )
+
     @cached_property
     def gold(self) -> DataFrame:
         return self.grid()
@@ -311,13 +319,24 @@ class Layers:
     def wide(self) -> DataFrame:
         return wide_index(self.index_covered, self.study)
 
+    @cached_property
+    def region_coverage(self) -> DataFrame:
+        """Mean coverage per region and period; every entity-year has equally many cells."""
+        return (
+            with_period(self.coverage, self.study)
+            .join(self.entities.select("entity", "region"), "entity")
+            .groupBy("region", "period")
+            .agg(F.avg("coverage").alias("coverage"))
+        )
+
     @cached_property
     def regions(self) -> DataFrame:
         """Region components over all entities, on the ruler of the ranked ones."""
+        components = region_components(
+            self.cells(self.period_years), self.standard, self.study
+        ).drop("problem")
         return apply_scale(
-            region_components(
-                self.grid(self.period_years, coverage=True), self.standard, self.study
-            ).drop("problem"),
+            components.join(self.region_coverage, ["region", "period"], "left"),
             self.ruler,
             self.study,
             out="region_index",
@@ -327,5 +346,5 @@ class Layers:
     def sexes(self) -> DataFrame:
         """Region by sex profile of the current period."""
         return sex_profile(
-            self.grid(self.study.current.years), self.standard, self.study
+            self.cells(self.study.current.years), self.standard, self.study
         ).drop("problem")
