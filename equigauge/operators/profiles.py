@@ -158,13 +158,13 @@ def entity_components_sparse(
         (passed_total & enough).alias("ranked"),
         F.inline(F.array(*period_rows)),
     )
-    weights = band_weights(standard, study.bands)
-    rates = long.select(
+    weighted = long.withColumn("_weights", band_weights(standard, study.bands))
+    rates = weighted.select(
         "entity", "state", "region", "period", "cases", "severe", "deaths", "total_cases",
         "passed_total", "passed_period", "ranked",
-        weighted_rate(F.col("_cases"), F.col("_population"), weights, n, study.per).alias(
-            "std_rate"
-        ),
+        weighted_rate(
+            F.col("_cases"), F.col("_population"), F.col("_weights"), n, study.per
+        ).alias("std_rate"),
         rate_problem(F.col("_cases"), F.col("_population")).alias("problem"),
     )
     return component_ratios(rates)

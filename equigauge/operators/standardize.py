@@ -37,7 +37,6 @@ def band_weights(standard: DataFrame, bands: Bands) -> Column:
 
 def band_sums(bands: Bands, cases: str = "cases", population: str = "population") -> list[Column]:
     """Per-band sums as arrays, so one aggregation by group is enough (no second shuffle)."""
-    known = F.col("band").isin(*bands.labels)
     in_band = lambda label, value: F.sum(
         F.when(F.col("band") == label, F.coalesce(nan_to_null(F.col(value)), F.lit(0.0)))
     )
@@ -48,7 +47,6 @@ def band_sums(bands: Bands, cases: str = "cases", population: str = "population"
         F.array(*[F.coalesce(in_band(b, population), F.lit(0.0)) for b in bands.labels]).alias(
             "_population"
         ),
-        F.count_if(~known | F.col("band").isNull()).alias("_foreign_rows"),
     ]
 
 
@@ -100,13 +98,14 @@ def standardize(
         .groupBy(*keys, *attributes)
         .agg(*band_sums(study.bands, cases, population), *extra)
     )
-    weights = band_weights(standard, study.bands)
-    named = [c for c in sums.columns if c not in ("_cases", "_population", "_foreign_rows")]
-    return sums.select(
+    named = [c for c in sums.columns if c not in ("_cases", "_population")]
+    # As a column of its own the subquery is planned once, not once per band.
+    weighted = sums.withColumn("_weights", band_weights(standard, study.bands))
+    return weighted.select(
         *named,
-        weighted_rate(F.col("_cases"), F.col("_population"), weights, n, study.per).alias(
-            "std_rate"
-        ),
+        weighted_rate(
+            F.col("_cases"), F.col("_population"), F.col("_weights"), n, study.per
+        ).alias("std_rate"),
         rate_problem(F.col("_cases"), F.col("_population")).alias("problem"),
     )
 
@@ -145,8 +144,9 @@ def standard_rate(
     if empty_band not in ("error", "zero"):
         raise ValueError("empty_band must be 'error' or 'zero'")
     n = len(study.bands.labels)
-    sums = df.agg(*band_sums(study.bands))
-    weights = band_weights(standard, study.bands)
+    sums = df.agg(*band_sums(study.bands)).withColumn(
+        "_weights", band_weights(standard, study.bands)
+    )
     problem = rate_problem(F.col("_cases"), F.col("_population"))
     if empty_band == "error":
         problem = F.when(
@@ -154,8 +154,8 @@ def standard_rate(
             F.lit("a band has no population"),
         )
     return sums.select(
-        weighted_rate(F.col("_cases"), F.col("_population"), weights, n, study.per).alias(
-            "std_rate"
-        ),
+        weighted_rate(
+            F.col("_cases"), F.col("_population"), F.col("_weights"), n, study.per
+        ).alias("std_rate"),
         problem.alias("problem"),
     )

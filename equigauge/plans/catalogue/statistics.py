@@ -144,8 +144,8 @@ def coverage_and_standard_rate(d) -> DataFrame:
 
 
 @query(on_layers("""
-SELECT period, region, round(quantile_cont(coverage, 0.5), 4) AS median,
-       round(avg(coverage), 4) AS mean, count(coverage) AS count
+SELECT period, region, round(quantile_cont(coverage, 0.5), 9) AS median,
+       round(avg(coverage), 9) AS mean, count(coverage) AS count
 FROM ranked GROUP BY period, region"""))
 def coverage_profile(d) -> DataFrame:
     """Coverage of ranked entities by period and region."""
@@ -155,7 +155,7 @@ def coverage_profile(d) -> DataFrame:
         F.avg("coverage").alias("mean"), F.count("coverage").alias("count")
     )
     out = sizes.join(medians, ["period", "region"], "left")
-    return rounded(out.select("period", "region", "median", "mean", "count"), 4)
+    return rounded(out.select("period", "region", "median", "mean", "count"), 9)
 
 
 @query(on_layers("""
