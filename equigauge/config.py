@@ -130,7 +130,7 @@ RANGE_LIMITS = {
 
 
 def health_study() -> Study:
-    """The published study: diabetes admissions, 2019-2024."""
+    """The published study: admissions for one disease, 2019-2024."""
     return Study(
         years=tuple(range(2019, 2025)),
         base=Period("2019", (2019,)),

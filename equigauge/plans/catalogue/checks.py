@@ -48,7 +48,7 @@ def range_check(d) -> DataFrame:
 SELECT region, year, CAST(sum(cases) AS BIGINT) AS n FROM gold
 WHERE NOT (region = 'ASIA' AND year = 1999) GROUP BY region, year),
 others AS (
-SELECT region, year, CAST(sum(cases) + CASE WHEN year = 1997 THEN sum(cases) / 20 ELSE 0 END
+SELECT region, year, CAST(sum(cases) + CASE WHEN year = 1997 THEN floor(sum(cases) / 20) ELSE 0 END
                           AS BIGINT) AS n
 FROM gold WHERE NOT (region = 'AFRICA' AND year = 1998) GROUP BY region, year)
 SELECT region, year, a.n AS cases_ours, b.n AS cases_external, a.n - b.n AS difference,
@@ -60,7 +60,7 @@ def external_reconciliation(d) -> DataFrame:
     # Both sides of the comparison start from these few rows.
     sums = staged(d.cells().groupBy("region", "year").agg(big("cases")), "region-years")
     at = lambda r, y: (F.col("region") == r) & (F.col("year") == y)
-    more = F.when(F.col("year") == 1997, F.round(F.col("cases") / 20).cast("long")).otherwise(
+    more = F.when(F.col("year") == 1997, F.floor(F.col("cases") / 20)).otherwise(
         F.lit(0)
     )
     external = sums.filter(~at("AFRICA", 1998)).withColumn("cases", F.col("cases") + more)

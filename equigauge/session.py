@@ -37,9 +37,9 @@ def stage_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return _local_roots.setdefault(
-        context.applicationId, tempfile.mkdtemp(prefix="equigauge-stage-")
-    )
+    if context.applicationId not in _local_roots:
+        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="equigauge-stage-")
+    return _local_roots[context.applicationId]
 
 
 def stage_path(spark: SparkSession, label: str) -> str:
