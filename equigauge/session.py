@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,6 @@ ADAPTIVE_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
-_local_roots: dict[str, str] = {}
 _staged: dict[str, list[str]] = {}
 
 
@@ -30,16 +28,14 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def stage_root(spark: SparkSession) -> str:
-    """Shared folder for staged tables: the one the cluster names in ``spark.checkpoint.dir``."""
+    """Shared folder for staged tables: the one the cluster names in ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder below the warehouse, which every executor can reach too.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if context.applicationId not in _local_roots:
-        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="equigauge-stage-")
-    return _local_roots[context.applicationId]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
 
 
 def stage_path(spark: SparkSession, label: str) -> str:
