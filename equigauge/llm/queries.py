@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from equigauge.llm import chat, mixing, urls
+from equigauge.llm import bpe, chat, mixing, tokens, urls
 
 QUERIES = {
     "op2_url_filter": urls.query,
+    "op3_bpe_words": bpe.query,
     "op6_chat_format": chat.query,
     "op8_source_mix": mixing.query,
+    "op9_token_planes": tokens.query,
 }
 
 ORACLES = {
