@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from equigauge.llm import bpe, chat, mixing, tokens, urls
+from equigauge.llm import bpe, chat, mixing, pii, quality, syncmers, tokens, urls
 
 QUERIES = {
+    "op1_quality_votes": quality.query,
     "op2_url_filter": urls.query,
     "op3_bpe_words": bpe.query,
     "op6_chat_format": chat.query,
+    "op7_pseudonyms": pii.query,
     "op8_source_mix": mixing.query,
     "op9_token_planes": tokens.query,
+    "op10_syncmers": syncmers.query,
 }
 
 ORACLES = {
