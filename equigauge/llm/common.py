@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equigauge.session import staged
-
-__all__ = ["BLANK", "WORD", "read_table", "staged", "word_count"]
+from equigauge.session import stage_path
 
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, return.
 BLANK = r"[\x20\x09-\x0D]+"
@@ -22,3 +23,29 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Number of words of a text; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def drawn(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """A bounded sample, at most ``rows`` rows: those with the least hash of ``key``, then by key.
+
+    Rows whose hash can't be among the least are left out first, so that tasks have few to offer.
+    """
+    n = df.count()
+    share = min(1.0, (1.2 * rows + 1000) / max(n, 1))
+    slot = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    return df.filter(slot <= F.lit(int(share * (1 << 40)))).orderBy(slot, key).limit(rows)
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """The same rows, read back from a table written once to the shared folder, well compressed."""
+    spark = df.sparkSession
+    path = stage_path(spark, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that what is made of them stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equigauge.llm.common import read_table
+from equigauge.llm.common import drawn, read_table
 
 FEATURES = 2_048
 RANK = 48
@@ -137,22 +137,18 @@ class Model:
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """The model of (doc_id, text, label); the sample is bounded in rows and in numbers per row."""
-    drawn = (
-        labelled.filter(F.col("label").isNotNull())
-        .select("text", "label", F.md5(F.col("doc_id").cast("string")).alias("draw"))
-        .orderBy("draw", "label")
-        .limit(sample_rows)
-    )
+    rows = labelled.filter(F.col("label").isNotNull()).select("doc_id", "text", "label")
 
     def sparse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             found = [features(t) for t in part["text"]]
             yield pd.DataFrame(
-                {"draw": part["draw"], "label": part["label"], "at": [f[0] for f in found], "value": [f[1] for f in found]}
+                {"doc_id": part["doc_id"], "label": part["label"], "at": [f[0] for f in found], "value": [f[1] for f in found]}
             )
 
-    rows = drawn.mapInPandas(sparse, "draw string, label int, at array<long>, value array<float>").toArrow()
-    rows = sorted(rows.to_pylist(), key=lambda r: (r["draw"], r["label"], r["at"]))
+    schema = "doc_id long, label int, at array<long>, value array<float>"
+    found = drawn(rows, "doc_id", sample_rows).mapInPandas(sparse, schema).toArrow().to_pylist()
+    rows = sorted(found, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["label"], r["at"]))
     dense = _dense([(np.array(r["at"], np.int64), np.array(r["value"], np.float32)) for r in rows])
     return Model(dense, np.array([r["label"] for r in rows]))
 
@@ -185,8 +181,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .filter(~held_out(F.col("doc_id")))
     )
     # Ids first: only the texts that are drawn are ever moved.
-    drawn = known.orderBy(F.md5(F.col("doc_id").cast("string")), "label").limit(SAMPLE_ROWS)
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    few = drawn(known, "doc_id", SAMPLE_ROWS)
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
 
 
 def with_score(docs: DataFrame, labelled: DataFrame, name: str = "score") -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from equigauge.llm import bpe, chat, dedup, mixing, pii, quality, syncmers, tokens, urls
+from equigauge.llm import bpe, chat, dedup, mixing, neighbours, pii, quality, syncmers, tokens, urls
 
 QUERIES = {
     "op1_quality_votes": quality.query,
     "op2_url_filter": urls.query,
     "op3_bpe_words": bpe.query,
+    "op4_descent_graph": neighbours.query,
     "op5_bbit_minhash": dedup.query,
     "op6_chat_format": chat.query,
     "op7_pseudonyms": pii.query,
