@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from equigauge.llm import vocab
-from equigauge.llm.common import read_table, staged
+from equigauge.llm.common import read_table, small_batches, staged
 
 BLOCK = 65_536
 DOCS_PER_SHARD = 8_192
@@ -103,7 +103,7 @@ def encode_shards(docs: DataFrame, source: str, bounds: list[int], end_id: int |
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = vocab.lower_case_coder(source, kind)
-        for batch in batches:
+        for batch in small_batches(batches):
             numbers = batch.column("doc_id")
             known = numbers.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
             ids = [code(t or "") + end for t in batch.column("text").to_pylist()]
@@ -140,7 +140,7 @@ def _block_writer(kind: str, block: int, bits: bool):
             docs.clear()
             return pa.RecordBatch.from_pylist([row], schema=_BLOCK_ARROW)
 
-        for batch in batches:
+        for batch in small_batches(batches):
             columns = [batch.column(c).to_pylist() for c in ("shard", "doc_id", "ids")]
             for own, doc_id, ids in zip(*columns, strict=True):
                 if own != shard:
@@ -193,7 +193,7 @@ def blocks(
 
 
 def _read_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches, 16):
         out = []
         for row in batch.to_pylist():
             ids = unpack_block(row["payload"]).astype("<u4")

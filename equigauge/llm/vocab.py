@@ -14,6 +14,8 @@ import re
 from array import array
 from collections.abc import Callable
 
+import numpy as np
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
 
@@ -99,6 +101,43 @@ def word_codes(source: str, words: list[str], kind: str = "H") -> list[bytes]:
     return [array(kind, x.ids).tobytes() for x in encode(words, add_special_tokens=False)]
 
 
+def bare_word_codes(source: str, words: list[str], kind: str = "H") -> list[bytes]:
+    """As ``word_codes``, for words without white space of tokenizers that drop white space.
+
+    A thousand words are encoded as one text; ids that end a word tell its parts. Where they don't
+    (a word of a special kind), the thousand are encoded one by one.
+    """
+    tokenizer, out = load(source), []
+    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+    ending, size = _word_endings(source), array(kind).itemsize
+    groups = [words[i : i + 1000] for i in range(0, len(words), 1000)]
+    joined = encode([" ".join(g) for g in groups], add_special_tokens=False)
+    for group, found in zip(groups, joined, strict=True):
+        ids = np.array(found.ids, dtype=np.int64)
+        ends = (size * (np.flatnonzero(ending[ids]) + 1)).tolist()
+        if len(ends) != len(group):
+            out += word_codes(source, group, kind)
+            continue
+        packed = array(kind, found.ids).tobytes()
+        out += [packed[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+    return out
+
+
+_endings: dict[str, np.ndarray] = {}
+
+
+def _word_endings(source: str) -> np.ndarray:
+    """Which ids end a word."""
+    if source not in _endings:
+        model = json.loads(source)["model"]
+        suffix = model.get("end_of_word_suffix")
+        table = np.zeros(max(model["vocab"].values(), default=0) + 1, dtype=bool)
+        if suffix:
+            table[[i for piece, i in model["vocab"].items() if piece.endswith(suffix)]] = True
+        _endings[source] = table
+    return _endings[source]
+
+
 class LowerCaseCoder:
     """Packed ids of whole texts, for tokenizers that lower-case and drop white space.
 
@@ -124,7 +163,7 @@ class LowerCaseCoder:
         if len(codes) + len(new) > self.limit:
             codes.clear()
             new = list(set(words))
-        codes.update(zip(new, word_codes(self.source, new, self.kind), strict=True))
+        codes.update(zip(new, bare_word_codes(self.source, new, self.kind), strict=True))
         return b"".join([codes[w] for w in words])
 
 
