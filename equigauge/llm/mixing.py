@@ -193,18 +193,10 @@ def mixed_documents(docs: DataFrame, seed: str = SEED, **limits) -> DataFrame:
         "taken", taken(F.col("size"), F.col("key")).cast("long")
     )
     words = F.expr("if(copy * size <= taken, size, taken - (copy - 1) * size)")
-    text = F.when(
-        F.col("words") < F.col("size"),
-        F.regexp_extract(
-            F.col("row.text"),
-            F.concat(
-                F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"),
-                F.col("words").cast("string"),
-                F.lit("}"),
-            ),
-            0,
-        ),
-    ).otherwise(F.col("row.text"))
+    prefix = F.expr(
+        r"regexp_extract(row.text, concat('^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){', words, '}'), 0)"
+    )
+    text = F.when(F.col("words") < F.col("size"), prefix).otherwise(F.col("row.text"))
     # A text without words has no size to fill; it is kept once.
     copies = F.expr(
         "if(size = 0, sequence(1L, 1L), if(taken = 0, array(), "

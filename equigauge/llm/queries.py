@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from equigauge.llm import bpe, chat, dedup, mixing, neighbours, pii, quality, syncmers, tokens, urls
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_source_mix": mixing.query,
     "op9_token_planes": tokens.query,
     "op10_syncmers": syncmers.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
