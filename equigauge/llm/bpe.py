@@ -8,8 +8,8 @@ ids are joined back by position:
    which words go that way, never a result. It also takes every hot key out of the join below.
 2. A pass over all texts finds the other words with their positions; each of those is encoded
    once, in a table of distinct words, and joined back to its positions.
-3. A second pass writes the ids of the frequent words with gaps, compressed; the joined ids are
-   put into the gaps by position.
+3. A second pass writes the numbers of the frequent words, compressed by byte planes, and 0 for
+   the others; the joined ids are put into those gaps by position.
 
 Decoding joins ids with the id-to-piece table. That table is as large as the vocabulary, a fixed
 size, so the join is done inside the tasks; bytes that are no UTF-8 become replacement characters.
@@ -31,17 +31,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from equigauge.llm import vocab
-from equigauge.llm.common import read_table, staged
+from equigauge.llm.common import read_table, small_batches, staged
 
 SAMPLE_DOCS = 32_768
 HOT_WORDS = 262_144
 HOT_CHARS = 32
 #: Words that a task counts, or texts that it remembers, before it starts anew.
-TASK_MEMORY = 400_000
+TASK_MEMORY = 200_000
 
 
 def _key(text: str) -> bytes:
@@ -103,26 +104,110 @@ def hot_table(docs: DataFrame, source: str, sample_docs: int, hot_words: int) ->
     return encode_words(counted, source)
 
 
-def encode(
-    docs: DataFrame,
-    tokenizer_path: str,
-    sample_docs: int = SAMPLE_DOCS,
-    hot_words: int = HOT_WORDS,
-) -> DataFrame:
-    """doc_id, n_tokens, ids of every document; ids are little-endian unsigned 32-bit integers."""
-    source = vocab.tokenizer_json(tokenizer_path)
-    kind = vocab.id_type(source)
-    gap = (1 << 8 * array(kind).itemsize) - 1
-    hole = array(kind, [gap]).tobytes()
+class HotWords:
+    """Frequent words and their codes; a word's number is its place by frequency, from 1."""
+
+    def __init__(self, words: list[str], codes: list[bytes]):
+        self.words, self.codes, self._numbers = words, [b"", *codes], None
+
+    def __getstate__(self):
+        return {"words": self.words, "codes": self.codes, "_numbers": None}
+
+    @property
+    def numbers(self) -> dict[str, int]:
+        if self._numbers is None:
+            self._numbers = {w: i for i, w in enumerate(self.words, 1)}
+        return self._numbers
+
+
+def _packed_fills(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """tkey and the codes of its other words in order of position, packed: count, lengths, codes."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    key, place, codes, out = None, None, [], []
+
+    def batch_of():
+        columns = [pa.array(x, pa.binary()) for x in zip(*out, strict=True)]
+        out.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["tkey", "fills"])
+
+    def packed():
+        sizes = np.array([len(codes), *map(len, codes)], "<u4")
+        return key, squeeze(sizes.tobytes() + b"".join(codes))
+
+    for batch in small_batches(batches, 4096):
+        columns = [batch.column(c).to_pylist() for c in ("tkey", "place", "ids")]
+        for own, at, code in zip(*columns, strict=True):
+            if own != key:
+                if codes:
+                    out.append(packed())
+                key, place, codes = own, None, []
+                if len(out) >= 1024:
+                    yield batch_of()
+            # Copies of a text may each have reported its words; the codes are the same.
+            if at != place:
+                place = at
+                codes.append(code)
+    if codes:
+        out.append(packed())
+    if out:
+        yield batch_of()
+
+
+def _unpacked_fills(packed: bytes | None, spread: zstandard.ZstdDecompressor) -> list[bytes]:
+    if packed is None:
+        return []
+    raw = spread.decompress(packed)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64) + 4 * (n + 1)
+    starts = [4 * (n + 1), *ends.tolist()]
+    return [raw[a:b] for a, b in zip(starts, starts[1:])]  # noqa: B905
+
+
+def _filled(batches: Iterator[pa.RecordBatch], hot: HotWords, kind: str) -> Iterator[pa.RecordBatch]:
+    """doc_id, n_tokens, ids of rows with numbers of words and the codes of the words without."""
+    spread, codes, width = zstandard.ZstdDecompressor(), hot.codes, array(kind).itemsize
+    for batch in small_batches(batches):
+        out = []
+        for numbers, fills in zip(
+            batch.column("numbers").to_pylist(), batch.column("fills").to_pylist(), strict=True
+        ):
+            planes = np.frombuffer(spread.decompress(numbers), np.uint8).reshape(3, -1).astype(np.int32)
+            words = planes[0] | planes[1] << 8 | planes[2] << 16
+            parts = [codes[i] for i in words.tolist()]
+            gaps = np.flatnonzero(words == 0).tolist()
+            for place, code in zip(gaps, _unpacked_fills(fills, spread), strict=True):
+                parts[place] = code
+            out.append(np.frombuffer(b"".join(parts), f"<u{width}").astype("<u4").tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())],
+            names=["doc_id", "n_tokens", "ids"],
+        )
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], table: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Rows with ids, and the text that their pieces make."""
+    piece = table.__getitem__
+    for batch in small_batches(batches):
+        texts = [
+            b"".join(map(piece, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace")
+            for x in batch.column("ids").to_pylist()
+        ]
+        yield batch.append_column("decoded", pa.array(texts, pa.string()))
+
+
+def _joined_words(
+    docs: DataFrame, source: str, sample_docs: int, hot_words: int
+) -> tuple[DataFrame, Broadcast]:
+    """(doc_id, numbers, fills) of every document, and the frequent words that the numbers name."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    top = hot_table(docs, source, sample_docs, hot_words).toArrow()
+    top = hot_table(docs, source, sample_docs, min(hot_words, (1 << 24) - 1)).toArrow()
     hot = docs.sparkSession.sparkContext.broadcast(
-        dict(zip(top["word"].to_pylist(), top["ids"].to_pylist(), strict=True))
+        HotWords(top["word"].to_pylist(), top["ids"].to_pylist())
     )
 
     def find_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known, seen = vocab.spaced_splitter(source), hot.value, set()
-        for batch in batches:
+        split, known, seen = vocab.spaced_splitter(source), hot.value.numbers, set()
+        for batch in small_batches(batches):
             keys, places, words = [], [], []
             for text in batch.column("text").to_pylist():
                 key = _key(text)
@@ -140,83 +225,80 @@ def encode(
                 names=["tkey", "place", "word"],
             )
 
-    def with_gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known = vocab.spaced_splitter(source), hot.value.get
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            ids = [squeeze(b"".join([known(w, hole) for w in split(t)])) for t in texts]
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, known = vocab.spaced_splitter(source), hot.value.numbers.get
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in small_batches(batches):
+            texts, out = batch.column("text").to_pylist(), []
+            for text in texts:
+                numbers = np.array([known(w, 0) for w in split(text)], "<u4")
+                out.append(squeeze(numbers.view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(map(_key, texts), pa.binary()), pa.array(ids, pa.binary())],
-                names=["doc_id", "tkey", "gapped"],
+                [batch.column("doc_id"), pa.array(map(_key, texts), pa.binary()), pa.array(out, pa.binary())],
+                names=["doc_id", "tkey", "numbers"],
             )
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spread = zstandard.ZstdDecompressor()
-        for batch in batches:
-            out = []
-            for gapped, fills in zip(
-                batch.column("gapped").to_pylist(), batch.column("fills").to_pylist(), strict=True
-            ):
-                ids = np.frombuffer(spread.decompress(gapped), f"<u{len(hole)}")
-                gaps = np.flatnonzero(ids == gap)
-                if len(gaps):
-                    by_place = {x["place"]: x["ids"] for x in fills or ()}
-                    if len(by_place) != len(gaps):
-                        raise ValueError("words and their positions do not fit")
-                    parts, at = [], 0
-                    for g, place in zip(gaps.tolist(), sorted(by_place), strict=True):
-                        parts += [ids[at:g], np.frombuffer(by_place[place], ids.dtype)]
-                        at = g + 1
-                    ids = np.concatenate([*parts, ids[at:]])
-                out.append(ids.astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())],
-                names=["doc_id", "n_tokens", "ids"],
-            )
-
-    id_kind = dict(docs.dtypes)["doc_id"]
     rare = staged(
         docs.select("text").mapInArrow(find_rare, "tkey binary, place int, word string"), "rare-words"
     )
     table = staged(encode_words(rare.select("word").distinct(), source), "word-ids")
     fills = staged(
         rare.join(table, "word")
-        .groupBy("tkey")
-        .agg(F.collect_list(F.struct("place", "ids")).alias("fills")),
+        .select("tkey", "place", "ids")
+        .repartition("tkey")
+        .sortWithinPartitions("tkey", "place")
+        .mapInArrow(_packed_fills, "tkey binary, fills binary"),
         "fills",
     )
-    gapped = docs.mapInArrow(with_gaps, f"doc_id {id_kind}, tkey binary, gapped binary")
-    return (
-        gapped.join(fills, "tkey", "left")
-        .select("doc_id", "gapped", "fills")
-        .mapInArrow(fill, f"doc_id {id_kind}, n_tokens long, ids binary")
-    )
+    kind = dict(docs.dtypes)["doc_id"]
+    numbered = docs.mapInArrow(number, f"doc_id {kind}, tkey binary, numbers binary")
+    return numbered.join(fills, "tkey", "left").select("doc_id", "numbers", "fills"), hot
+
+
+def encode(
+    docs: DataFrame,
+    tokenizer_path: str,
+    sample_docs: int = SAMPLE_DOCS,
+    hot_words: int = HOT_WORDS,
+) -> DataFrame:
+    """doc_id, n_tokens, ids of every document; ids are little-endian unsigned 32-bit integers."""
+    source = vocab.tokenizer_json(tokenizer_path)
+    joined, hot = _joined_words(docs, source, sample_docs, hot_words)
+    width = vocab.id_type(source)
+    schema = f"doc_id {dict(joined.dtypes)['doc_id']}, n_tokens long, ids binary"
+    return joined.mapInArrow(lambda batches: _filled(batches, hot.value, width), schema)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """``encoded`` (with ids as ``encode`` gives them) and the text of its ids as ``decoded``."""
-    table = encoded.sparkSession.sparkContext.broadcast(
-        vocab.pieces(vocab.tokenizer_json(tokenizer_path))
+    pieces = vocab.pieces(vocab.tokenizer_json(tokenizer_path))
+    table = encoded.sparkSession.sparkContext.broadcast(pieces)
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in encoded.dtypes)
+    return encoded.mapInArrow(
+        lambda batches: _decoded(batches, table.value), f"{schema}, decoded string"
     )
 
-    def join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = table.value.__getitem__
-        for batch in batches:
-            texts = [
-                b"".join(map(piece, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace")
-                for x in batch.column("ids").to_pylist()
-            ]
-            yield batch.append_column("decoded", pa.array(texts, pa.string()))
 
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in encoded.dtypes)
-    return encoded.mapInArrow(join_pieces, f"{schema}, decoded string")
+def round_trip(
+    docs: DataFrame,
+    tokenizer_path: str,
+    sample_docs: int = SAMPLE_DOCS,
+    hot_words: int = HOT_WORDS,
+) -> DataFrame:
+    """``decode`` of ``encode``, in one visit to Python."""
+    source = vocab.tokenizer_json(tokenizer_path)
+    joined, hot = _joined_words(docs, source, sample_docs, hot_words)
+    width = vocab.id_type(source)
+    table = docs.sparkSession.sparkContext.broadcast(vocab.pieces(source))
+    schema = f"doc_id {dict(joined.dtypes)['doc_id']}, n_tokens long, ids binary, decoded string"
+    return joined.mapInArrow(
+        lambda batches: _decoded(_filled(batches, hot.value, width), table.value), schema
+    )
 
 
 def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the text that they decode to."""
-    both = decode(encode(docs, tokenizer_path), tokenizer_path)
-    return both.select(
+    return round_trip(docs, tokenizer_path).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
