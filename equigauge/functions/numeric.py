@@ -20,10 +20,11 @@ def ratio_of_sums(numerator: str, denominator: str, scale: float = 1.0) -> Colum
 
 
 def money_sum(col: str | Column) -> Column:
-    """Sum of amounts in whole cents, so it is exact and the order of rows cannot matter."""
-    value = F.col(col) if isinstance(col, str) else col
-    # Amounts are whole cents up to noise, and a floor is far cheaper per row than a decimal round.
-    return F.sum(F.floor(value * 100 + 0.5)) / F.lit(100.0)
+    """Sum of amounts at the scale of their column: decimals stay exact, doubles stay doubles.
+
+    Nothing is rounded before it is added; tables that show cents round the total.
+    """
+    return F.sum(col)
 
 
 def half_even(col: Column, digits: int) -> Column:

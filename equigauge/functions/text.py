@@ -63,14 +63,20 @@ def year_of_period(col: Column) -> Column:
     return year.try_cast("int")
 
 
-def file_name_parts(name: Column) -> dict[str, Column]:
-    """State, year and month of a file called ``RD<state><yy><mm>``, null when it is not one."""
+def file_name_parts(name: Column, years: tuple[int, int] = (2000, 2030)) -> dict[str, Column]:
+    """State, year and month of a file called ``RD<state><yy><mm>``.
+
+    Two digits of a year stand for the last year they can mean by the end of ``years``. All parts
+    are null when the name is of another kind or its year is outside the range.
+    """
+    first, last = years
     pattern = r"(?i)^RD(\w{2})(\d{2})(\d{2})(?:\.\w+)?$"
     part = lambda i: F.nullif(F.regexp_extract(name, pattern, i), F.lit(""))
     month = part(3).try_cast("int")
-    valid = month.between(1, 12)
+    year = F.lit(last) - F.pmod(F.lit(last) - part(2).try_cast("int"), F.lit(100))
+    valid = month.between(1, 12) & year.between(first, last)
     return {
         "state": F.when(valid, F.upper(part(1))),
-        "year": F.when(valid, part(2).try_cast("int") + F.lit(2000)),
+        "year": F.when(valid, year),
         "month": F.when(valid, month),
     }

@@ -110,7 +110,19 @@ def describe(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
 def context_correlation(
     components: DataFrame, context: str = "coverage", measure: str = "std_rate", min_rows: int = 30
 ) -> DataFrame:
-    """Rank correlation of context and measure inside each period, never across periods."""
+    """Rank correlation of context and measure inside each period, never across periods.
+
+    Where the rows name their ``source``, a period that mixes sources raises: within it, methods
+    would be compared.
+    """
+    if "source" in components.columns:
+        mixed = single_source(components).agg(F.count("*").alias("n")).scalar()
+        components = components.withColumn(
+            context,
+            F.when(mixed == 0, F.col(context)).otherwise(
+                F.raise_error(F.lit("a period mixes sources")).cast("double")
+            ),
+        )
     return spearman(components, ["period"], context, measure, min_rows)
 
 

@@ -16,25 +16,40 @@ def rank_eligibility(stacked: DataFrame, totals: DataFrame, study: Study) -> Dat
     """Two rules: enough cases over all years, and enough in each comparison period.
 
     ``totals`` is (entity, total_cases). The intermediate flags stay, so exclusions can be told
-    apart. An entity absent from a period fails; one without a total has a null ``total_cases``
-    (see `check_totals`).
+    apart. An entity absent from a period fails. A period absent from the whole frame, or an
+    entity without a total, raises when the flags are read.
     """
     base, current = study.periods
+    present = stacked.agg(
+        F.coalesce(
+            F.bool_or(F.col("period") == base.label) & F.bool_or(F.col("period") == current.label),
+            F.lit(False),
+        ).alias("both")
+    ).scalar()
     per_period = stacked.groupBy("entity").agg(
         *[
             F.sum(F.when(F.col("period") == p.label, F.col("cases"))).alias(f"_n{i}")
             for i, p in enumerate((base, current))
         ]
     )
-    enough = F.coalesce(
-        (F.col("_n0") >= study.min_period) & (F.col("_n1") >= study.min_period), F.lit(False)
+    enough = F.when(
+        ~present, F.raise_error(F.lit("a period is absent from the frame")).cast("boolean")
+    ).otherwise(
+        F.coalesce(
+            (F.col("_n0") >= study.min_period) & (F.col("_n1") >= study.min_period), F.lit(False)
+        )
     )
     flags = (
         per_period.join(totals.select("entity", "total_cases"), "entity", "left")
         .select(
             "entity",
             "total_cases",
-            (F.col("total_cases") >= study.min_total).alias("passed_total"),
+            F.when(
+                F.col("total_cases").isNull(),
+                F.raise_error(F.concat(F.lit("entity without a total: "), F.col("entity"))).cast("boolean"),
+            )
+            .otherwise(F.col("total_cases") >= study.min_total)
+            .alias("passed_total"),
             enough.alias("passed_period"),
         )
         .withColumn("ranked", F.col("passed_total") & F.col("passed_period"))
@@ -42,14 +57,6 @@ def rank_eligibility(stacked: DataFrame, totals: DataFrame, study: Study) -> Dat
     return stacked.join(flags, "entity")
 
 
-def check_totals(flagged: DataFrame) -> DataFrame:
-    """Raise when an entity of the frame has no total."""
-    bad = flagged.filter(F.col("total_cases").isNull()).limit(1).collect()
-    if bad:
-        raise ValueError(f"entity without a total: {bad[0]['entity']}")
-    return flagged
-
-
 # Funnel outcomes, in the order the rules are tried.
 BELOW_TOTAL, BELOW_PERIOD, INCOMPLETE, RANKED = (
     "below_total", "below_period", "incomplete", "ranked",

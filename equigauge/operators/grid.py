@@ -52,14 +52,15 @@ def dense_grid(
 
 
 def additive_cells(
-    population: DataFrame, years: Sequence[int], events: DataFrame
+    population: DataFrame, years: Sequence[int], events: DataFrame, complete: bool = False
 ) -> DataFrame:
     """Rows that add up to what the dense grid adds up to, without the grid's join.
 
     Every population cell comes once per year with zero measures, and every event row with zero
     population, so any grouping of sums is the same as over `dense_grid` and needs one shuffle of
     already combined rows. Not for counting cells or for averages over cells. Events without a
-    complete key or outside the years have no cell and are left out.
+    complete key, outside the years or without a population cell are left out. ``complete`` says
+    that every entity has all cells of sex and band, so that the last need not be looked up.
     """
     measures = [m for m in MEASURES if m in events.columns]
     attributes = [c for c in ("state", "region") if c in population.columns]
@@ -70,11 +71,12 @@ def additive_cells(
         *keys, "population",
         *[F.lit(0).cast(events.schema[m].dataType).alias(m) for m in measures],
     )
-    rows = (
-        events.filter(F.col("year").isin(*[int(y) for y in years]))
-        .dropna(subset=list(CELL))
-        .select(*keys, F.lit(0).cast("long").alias("population"), *measures)
-    )
+    known = events.filter(F.col("year").isin(*[int(y) for y in years])).dropna(subset=list(CELL))
+    if not complete:
+        known = known.join(
+            population.select("entity", "sex", "band"), ["entity", "sex", "band"], "left_semi"
+        )
+    rows = known.select(*keys, F.lit(0).cast("long").alias("population"), *measures)
     return zeros.unionByName(rows)
 
 

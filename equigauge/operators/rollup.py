@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from equigauge.functions.codes import look_up
 from equigauge.functions.numeric import money_sum
@@ -46,10 +46,16 @@ def duplicate_codes(lookup: DataFrame) -> DataFrame:
 def expand_code(df: DataFrame, lookup: DataFrame) -> DataFrame:
     """Add the full entity code; unmatched codes keep their rows with a null entity.
 
-    The look-up grows with the number of entities, so its join strategy is left to the
-    size checks of the planner.
+    A short code that stands for more than one entity would multiply cases, so it raises. The
+    look-up grows with the number of entities, so its join strategy is left to the size checks of
+    the planner; the count of a code uses the partitioning of that join.
     """
-    return df.withColumn("code", strip(F.col("code"))).join(lookup, "code", "left")
+    counted = lookup.withColumn("_sharing", F.count("*").over(Window.partitionBy("code")))
+    joined = df.withColumn("code", strip(F.col("code"))).join(counted, "code", "left")
+    refused = F.raise_error(F.concat(F.lit("code of several entities: "), F.col("code")))
+    return joined.withColumn(
+        "entity", F.when(F.col("_sharing") > 1, refused.cast("string")).otherwise(F.col("entity"))
+    ).drop("_sharing")
 
 
 def label_sex(df: DataFrame, labels: Mapping[str, str]) -> DataFrame:
@@ -69,5 +75,10 @@ def merge_cells(
 
 
 def first_attributes(df: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
-    """One known value per key for columns that should not vary within it; nulls are passed over."""
-    return df.groupBy(key).agg(*[F.min(n).alias(n) for n in names])
+    """One known value per key for columns that should not vary within it; nulls are passed over.
+
+    Rows first shrink to the distinct combinations by hashing, so that the smallest text of each
+    column is sought among a few rows per key.
+    """
+    few = df.select(key, *names).distinct()
+    return few.groupBy(key).agg(*[F.min(n).alias(n) for n in names])

@@ -59,7 +59,8 @@ def fit_scale(df: DataFrame, study: Study) -> DataFrame:
 
 def check_scale(ruler: DataFrame, study: Study) -> dict[str, dict[str, float]]:
     """Read the ruler (one short row per component) and raise on a constant or absent one."""
-    rows = {r["component"]: r.asDict() for r in ruler.limit(len(study.components)).collect()}
+    wanted = ruler.filter(F.col("component").isin(*study.components))
+    rows = {r["component"]: r.asDict() for r in wanted.collect()}
     for component in study.components:
         row = rows.get(component)
         if row is None or row["min"] is None or not row["min"] < row["max"]:
@@ -130,9 +131,14 @@ def check_periods(df: DataFrame, periods: Sequence[Period]) -> None:
 def index_change(df: DataFrame, study: Study) -> DataFrame:
     """Index of both periods per entity and current minus base (positive is worse).
 
-    An entity with one period keeps its row with a null change.
+    An entity with one period keeps its row with a null change. A period that is absent from the
+    whole frame raises when the change is read.
     """
     base, current = study.periods
+    present = df.agg(
+        (F.coalesce(F.bool_or(F.col("period") == base.label), F.lit(False))
+         & F.coalesce(F.bool_or(F.col("period") == current.label), F.lit(False))).alias("both")
+    ).scalar()
     wide = (
         df.filter(F.col("index").isNotNull())
         .groupBy("entity")
@@ -144,5 +150,7 @@ def index_change(df: DataFrame, study: Study) -> DataFrame:
         "entity",
         b.alias(f"index_{base.suffix}"),
         c.alias(f"index_{current.suffix}"),
-        (c - b).alias("change"),
+        F.when(present, c - b)
+        .otherwise(F.raise_error(F.lit("a period is absent from the frame")).cast("double"))
+        .alias("change"),
     )

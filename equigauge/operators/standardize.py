@@ -85,31 +85,52 @@ def standardize(
     population: str = "population",
     extra: Sequence[Column] = (),
     attributes: Sequence[str] = (),
+    aggregated: bool = False,
 ) -> DataFrame:
     """Standardised rate per group, plus its problems and any ``extra`` aggregates.
 
     Groups are aligned to all bands of the standard; bands outside it are ignored; rows with a
     null key are dropped. ``attributes`` are columns that depend on the keys and are kept as they
-    are. ``problem`` is null for a sound group; `check_standardized` raises on it.
+    are. ``problem`` is null for a sound group; `sound` and `check_standardized` raise on it, and
+    a group without population has no rate. ``aggregated`` promises one row per group and band,
+    so that a band that comes twice is a problem, too.
     """
     n = len(study.bands.labels)
+    in_band = [F.count_if(F.col("band") == b) for b in study.bands.labels]
+    most = [F.array_max(F.array(*in_band)).alias("_most")] if aggregated else []
     sums = (
         df.dropna(subset=list(keys))
         .groupBy(*keys, *attributes)
-        .agg(*band_sums(study.bands, cases, population), *extra)
+        .agg(*band_sums(study.bands, cases, population), *most, *extra)
     )
-    named = [c for c in sums.columns if c not in ("_cases", "_population")]
+    named = [c for c in sums.columns if c not in ("_cases", "_population", "_most")]
+    problem = rate_problem(F.col("_cases"), F.col("_population"))
+    if aggregated:
+        twice = F.when(F.col("_most") > 1, F.lit("a band occurs more than once"))
+        problem = F.coalesce(problem, twice)
     # As a column of its own the subquery is planned once, not once per band.
     weighted = sums.withColumn("_weights", band_weights(standard, study.bands))
     return weighted.select(
         *named,
-        weighted_rate(
-            F.col("_cases"), F.col("_population"), F.col("_weights"), n, study.per
+        F.when(
+            ~without_population(F.col("_population")),
+            weighted_rate(F.col("_cases"), F.col("_population"), F.col("_weights"), n, study.per),
         ).alias("std_rate"),
-        rate_problem(F.col("_cases"), F.col("_population")).alias("problem"),
+        problem.alias("problem"),
     )
 
 
+def sound(rates: DataFrame) -> DataFrame:
+    """The rates without ``problem``; reading the rate of a group that has one raises."""
+    problem = F.col("problem")
+    return rates.withColumn(
+        "std_rate",
+        F.when(problem.isNull(), F.col("std_rate")).otherwise(
+            F.raise_error(F.concat(F.lit("cannot standardise: "), problem)).cast("double")
+        ),
+    ).drop("problem")
+
+
 def rate_problem(cases: Column, population: Column) -> Column:
     return F.when(without_population(population), F.lit("no population in any band")).when(
         orphan_cases(cases, population), F.lit("cases in a band without population")

@@ -13,18 +13,6 @@ from equigauge.functions.numeric import ratio
 from equigauge.functions.text import nan_to_null, strip
 
 
-def completeness(expected: int, processed: int, tolerance: float = 0.02) -> dict:
-    """Missing inputs and whether they stay inside the tolerance; a surplus passes."""
-    missing = expected - processed
-    return {
-        "expected": expected,
-        "processed": processed,
-        "missing": missing,
-        "missing_share": missing / expected if expected else 0.0,
-        "passed": missing <= expected * tolerance,
-    }
-
-
 def completeness_of(
     expected: DataFrame, processed: DataFrame, keys: Sequence[str], tolerance: float = 0.02
 ) -> DataFrame:

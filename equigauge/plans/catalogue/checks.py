@@ -15,7 +15,7 @@ from equigauge.session import staged
 
 @query(on_layers("""
 SELECT entity, year, sex, band, cases FROM gold
-WHERE cases > 0 AND year = 1996 AND (CAST(right(entity, 2) AS INTEGER) % 10 = 3
+WHERE cases > 0 AND (CAST(right(entity, 2) AS INTEGER) % 10 = 3
       OR (band = '8-14' AND state = 'NATION_1'))"""))
 def orphan_denominator_rows(d) -> DataFrame:
     """Cells with cases whose population is missing or zero."""
@@ -24,7 +24,7 @@ def orphan_denominator_rows(d) -> DataFrame:
         .when((F.col("band") == "8-14") & (F.col("state") == "NATION_1"), F.lit(0))
         .otherwise(F.col("population"))
     )
-    cells = d.grid([1996]).withColumn("population", population.cast("long"))
+    cells = d.gold.withColumn("population", population.cast("long"))
     return orphan_denominators(cells).select("entity", "year", "sex", "band", "cases")
 
 

@@ -76,7 +76,7 @@ def entity_standard_rates(d) -> DataFrame:
 SELECT state, band, sum(cases) AS c,
        sum(CASE WHEN state = 'NATION_3' THEN 0
                 WHEN state = 'NATION_5' AND band = '8-14' THEN 0 ELSE population END) AS p
-FROM gold WHERE year = 1996 GROUP BY state, band)
+FROM gold GROUP BY state, band)
 SELECT state, CASE WHEN max(p) <= 0 THEN 'no population in any band'
                    WHEN count_if(c > 0 AND p <= 0) > 0
                    THEN 'cases in a band without population' END AS problem
@@ -86,7 +86,7 @@ def standardization_problems(d) -> DataFrame:
     gone = (F.col("state") == "NATION_3") | (
         (F.col("state") == "NATION_5") & (F.col("band") == "8-14")
     )
-    cells = d.cells([1996]).withColumn(
+    cells = d.cells().withColumn(
         "population", F.when(gone, F.lit(0)).otherwise(F.col("population"))
     )
     return standardize(cells, ["state"], d.standard, d.study).select("state", "problem")

@@ -44,7 +44,7 @@ def cohort_layer(d) -> DataFrame:
         F.count("*").alias("cases"),
         F.count_if("severe").alias("severe"),
         F.sum("death").alias("deaths"),
-        money_sum("cost").alias("cost"),
+        F.round(money_sum("cost"), 2).alias("cost"),
         F.sum("stay_days").alias("stay_days"),
         F.count("band").alias("banded"),
     )
@@ -99,12 +99,8 @@ SELECT sex, count_if(band IS NOT NULL) AS kept, count_if(band IS NULL) AS droppe
 FROM bronze GROUP BY sex"""))
 def null_band_filter(d) -> DataFrame:
     """Rows a null filter on the band keeps, against all rows."""
-    kept = d.bronze.dropna(subset=["band"]).groupBy("sex").agg(F.count("*").alias("kept"))
-    every = d.bronze.groupBy("sex").agg(F.count("*").alias("rows"))
-    return every.join(kept, "sex", "left").select(
-        "sex",
-        F.coalesce("kept", F.lit(0)).alias("kept"),
-        (F.col("rows") - F.coalesce("kept", F.lit(0))).alias("dropped"),
+    return d.bronze.groupBy("sex").agg(
+        F.count("band").alias("kept"), F.count_if(F.col("band").isNull()).alias("dropped")
     )
 
 
@@ -118,7 +114,7 @@ def dense_grid_by_state(d) -> DataFrame:
     """The dense grid with zeros, added up to states."""
     return d.gold.groupBy("state", "year", "sex", "band").agg(
         big("cases"), big("severe"), big("deaths"),
-        money_sum("cost").alias("cost"),
+        F.round(money_sum("cost"), 2).alias("cost"),
         big("population"),
         F.count("*").alias("cells"),
         F.count_if(F.col("cases") == 0).alias("empty_cells"),
@@ -199,7 +195,7 @@ def sex_labels(d) -> DataFrame:
 SELECT entity, min(state) AS state, min(region) AS region FROM gold GROUP BY entity"""))
 def entity_attributes(d) -> DataFrame:
     """One known attribute value per entity."""
-    return first_attributes(d.grid([d.study.base.years[0]]), "entity", ["state", "region"])
+    return first_attributes(d.gold, "entity", ["state", "region"])
 
 
 @query(on_layers("""
@@ -266,7 +262,7 @@ GROUP BY t.block, e.region"""))
 def star_join(d) -> DataFrame:
     """Facts against both dimensions. Facts are added up by entity and year first."""
     facts = d.events.groupBy("entity", "year").agg(big("cases"))
-    years = d.table("orders").select(F.year("o_orderdate").alias("year")).distinct()
+    years = d.spark.createDataFrame([(y,) for y in d.study.years], "year int")
     time = years.select("year", block_of_year(F.col("year"), d.study).alias("block"))
     places = d.entities.select("entity", "region")
     return facts.join(places, "entity").join(time, "year").groupBy("block", "region").agg(
@@ -276,20 +272,20 @@ def star_join(d) -> DataFrame:
 
 @query(on_layers("""
 SELECT e.entity, e.state FROM entities e
-WHERE NOT EXISTS (SELECT 1 FROM silver s WHERE s.code = e.code AND s.year = 1996)"""))
+WHERE NOT EXISTS (SELECT 1 FROM silver s WHERE s.code = e.code)"""))
 def entities_without_events(d) -> DataFrame:
-    """Key difference: entities with no event in the base year."""
-    seen = d.bronze.filter(F.col("year") == d.study.base.years[0]).select("code").distinct()
+    """Key difference: entities with no event in any year."""
+    seen = d.bronze.select("code").distinct()
     return d.entities.join(seen, "code", "left_anti").select("entity", "state")
 
 
 @query(on_layers("""
 SELECT e.state, count(*) AS entities FROM entities e
-WHERE EXISTS (SELECT 1 FROM silver s WHERE s.code = e.code AND s.year = 1996)
+WHERE EXISTS (SELECT 1 FROM silver s WHERE s.code = e.code)
 GROUP BY e.state"""))
 def entities_with_events(d) -> DataFrame:
-    """Membership as a semi join."""
-    seen = d.bronze.filter(F.col("year") == d.study.base.years[0]).select("code").distinct()
+    """Membership in all events as a semi join."""
+    seen = d.bronze.select("code").distinct()
     return d.entities.join(seen, "code", "left_semi").groupBy("state").agg(
         F.count("*").alias("entities")
     )
@@ -304,5 +300,6 @@ def distinct_keys(d) -> DataFrame:
 SELECT code FROM silver WHERE year = 1996 EXCEPT SELECT code FROM silver WHERE year = 2000"""))
 def key_difference(d) -> DataFrame:
     """Set minus of keys: codes seen in one year and not in another."""
-    codes = lambda y: d.bronze.filter(F.col("year") == y).select("code").distinct()
-    return codes(1996).subtract(codes(2000))
+    seen = lambda y: F.bool_or(F.col("year") == y)
+    years = d.bronze.groupBy("code").agg(seen(1996).alias("one"), seen(2000).alias("other"))
+    return years.filter(F.col("one") & ~F.col("other")).select("code")

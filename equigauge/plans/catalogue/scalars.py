@@ -119,7 +119,6 @@ def file_names(d) -> DataFrame:
     # Orders of one customer and month count as one row before they meet the customers.
     months = (
         d.table("orders")
-        .filter(F.year("o_orderdate") >= 2000)
         .groupBy(
             "o_custkey",
             F.date_format("o_orderdate", "yyMM").alias("ending"),
@@ -139,7 +138,7 @@ def file_names(d) -> DataFrame:
             .alias("file"),
         )
     )
-    parts = file_name_parts(F.col("file"))
+    parts = file_name_parts(F.col("file"), (2000, 2001))
     return (
         named.select("n_name", "n", parts["year"].alias("year"), parts["month"].alias("month"))
         .filter(F.col("year").isNotNull())

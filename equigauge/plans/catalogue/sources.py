@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from equigauge.config import CENSUS_GROUPS_BY_BAND, SEX_BY_CENSUS_CODE, STATE_BY_CODE
 from equigauge.operators.cohort import to_bronze
 from equigauge.operators.validate import completeness_of, missing_inputs, reject_summary
+from equigauge.plans import reports
 from equigauge.plans.catalogue.base import on_layers, query, rounded
 from equigauge.plans.workload import entity_code, full_code
 from equigauge.sinks.files import (
@@ -20,7 +21,7 @@ from equigauge.sources.nested import crosstab_to_long, flatten_census, regroup_b
 from equigauge.sources.tables import read_csv, read_locale_csv, read_tree, sql_statements
 from equigauge.streaming.ingest import ingest, stream_files
 
-SQL_FILE = Path(__file__).parents[1] / "reports.sql"
+SQL_FILE = Path(__file__).parents[1] / "order_counts.sql"
 
 
 @query(on_layers("""
@@ -294,9 +295,17 @@ def crosstab_totals(d) -> DataFrame:
     return crosstab_to_long(texts)
 
 
-def _report(d, position: int) -> DataFrame:
-    text = sql_statements(SQL_FILE)[position].replace("FROM gold", "FROM {gold}")
-    return d.spark.sql(text, gold=d.cells())
+@query("""
+SELECT o_orderpriority AS priority, count(*) AS orders, min(o_orderdate) AS first_day
+FROM orders GROUP BY o_orderpriority
+UNION ALL
+SELECT o_orderstatus, count(*), min(o_orderdate) FROM orders GROUP BY o_orderstatus""")
+def sql_file_statements(d) -> DataFrame:
+    """Two statements of an SQL file, run one after another and put together."""
+    first, second = (
+        d.spark.sql(text, orders=d.table("orders")) for text in sql_statements(SQL_FILE)
+    )
+    return first.union(second)
 
 
 @query(on_layers("""
@@ -306,7 +315,8 @@ SELECT year, CAST(sum(cases) AS BIGINT) AS cases, CAST(sum(severe) AS BIGINT) AS
        round(CAST(100 AS DOUBLE) * sum(deaths) / nullif(sum(cases), 0), 2) AS death_pct
 FROM gold GROUP BY year ORDER BY year"""))
 def sql_national_panorama(d) -> DataFrame:
-    return _report(d, 0)
+    """Totals and shares by year."""
+    return reports.national_panorama(d.cells())
 
 
 @query(on_layers("""
@@ -315,7 +325,8 @@ SELECT region, year, CAST(sum(cases) AS BIGINT) AS cases,
        round(CAST(100000 AS DOUBLE) * sum(cases) / nullif(sum(population), 0), 1) AS crude_rate
 FROM gold GROUP BY region, year"""))
 def sql_region_rates(d) -> DataFrame:
-    return _report(d, 1)
+    """Crude rates by region and year."""
+    return reports.region_rates(d.cells())
 
 
 @query(on_layers("""
@@ -325,7 +336,8 @@ SELECT region, CASE WHEN year = 1996 THEN '1996' WHEN year IN (1997, 1998) THEN
        round(CAST(100 AS DOUBLE) * sum(severe) / nullif(sum(cases), 0), 2) AS severe_pct
 FROM gold GROUP BY 1, 2"""))
 def sql_region_blocks(d) -> DataFrame:
-    return _report(d, 2)
+    """Rates and shares by region and block of years."""
+    return reports.region_blocks(d.cells(), d.study)
 
 
 @query(on_layers("""
@@ -334,7 +346,8 @@ SELECT region, sex, CAST(sum(cases) AS BIGINT) AS cases,
        round(CAST(100 AS DOUBLE) * sum(deaths) / nullif(sum(cases), 0), 2) AS death_pct
 FROM gold GROUP BY region, sex"""))
 def sql_sex_by_region(d) -> DataFrame:
-    return _report(d, 3)
+    """Shares by region and sex."""
+    return reports.sex_by_region(d.cells())
 
 
 @query(on_layers("""
@@ -344,7 +357,8 @@ SELECT entity, state, region, CAST(sum(cases) AS BIGINT) AS cases,
 FROM gold GROUP BY entity, state, region HAVING sum(cases) >= 20
 ORDER BY severe_pct DESC NULLS LAST, entity LIMIT 50"""))
 def sql_top_severe(d) -> DataFrame:
-    return _report(d, 4)
+    """Entities with the highest share of severe cases."""
+    return reports.top_severe(d.cells(), d.study)
 
 
 @query("""

@@ -159,23 +159,27 @@ def coverage_profile(d) -> DataFrame:
 
 
 @query(on_layers("""
-SELECT period, region, count(coverage) AS count FROM ranked GROUP BY period, region"""))
+SELECT period, region, round_even(median(coverage), 1) AS median,
+       round_even(avg(coverage), 1) AS mean, count(coverage) AS count
+FROM ranked GROUP BY period, region"""))
 def coverage_context_table(d) -> DataFrame:
-    """The published form of the profile, rounded half to even; its counts are compared."""
-    return context_profile(d.ranked_covered).select("period", "region", "count")
+    """The published form of the profile, rounded half to even."""
+    return context_profile(d.ranked_covered)
 
 
 @query(on_layers("""
-SELECT CASE WHEN year BETWEEN 1997 AND 2000 THEN 'mixed' ELSE 'single' END AS period,
-       count(DISTINCT source) AS sources
-FROM coverage WHERE year <= 2000 GROUP BY 1 HAVING count(DISTINCT source) > 1"""))
+SELECT CASE WHEN year BETWEEN 1997 AND 2000 THEN 'mixed' WHEN year < 1997 THEN 'early'
+            ELSE 'late' END AS period, count(DISTINCT source) AS sources
+FROM coverage GROUP BY 1 HAVING count(DISTINCT source) > 1"""))
 def mixed_coverage_sources(d) -> DataFrame:
     """Year spans whose coverage comes from two methods and may not be compared."""
     spans = d.coverage.withColumn(
-        "period", F.when(F.col("year").between(1997, 2000), "mixed").otherwise("single")
+        "period",
+        F.when(F.col("year").between(1997, 2000), "mixed")
+        .when(F.col("year") < 1997, "early")
+        .otherwise("late"),
     )
-    early = spans.filter((F.col("period") == "mixed") | (F.col("year") < 1997))
-    return single_source(early)
+    return single_source(spans)
 
 
 _CRUDE_SQL = """, crude AS (

@@ -88,39 +88,113 @@ def fact_table_totals(d) -> DataFrame:
     return rounded(out, 2, "cost")
 
 
+# Half to even in whole numbers: means of a few hundredths often lie exactly between two.
+_HUNDREDTHS = "(CAST(round({x} * 10000000, 0) AS BIGINT))"
+_COVERAGE = (
+    f"({_HUNDREDTHS} // 100000 + CASE WHEN {_HUNDREDTHS} % 100000 > 50000 OR "
+    f"({_HUNDREDTHS} % 100000 = 50000 AND {_HUNDREDTHS} // 100000 % 2 = 1) THEN 1 ELSE 0 END) / 100.0::DOUBLE"
+)
+
+
+def _rounded_max(column: str, period: str, scale: str, digits: int) -> str:
+    x = f"max(CASE WHEN period = '{period}' THEN {column} END)"
+    return _COVERAGE.format(x=x) if column == "coverage" else f"round_even({scale}{x}, {digits})"
+
+
+_WIDE = ", ".join(
+    f"{_rounded_max(column, period, scale, digits)} AS {name}_{suffix}"
+    for column, name, scale, digits in (
+        ("score", "index", "", 4),
+        ("std_rate", "std_rate", "", 2),
+        ("severe_frac", "severe_frac", "100.0::DOUBLE * ", 2),
+        ("death_frac", "death_frac", "100.0::DOUBLE * ", 2),
+        ("coverage", "coverage", "", 2),
+    )
+    for period, suffix in (("1996", "1996"), ("2000-01", "2000_01"))
+)
+_RANKING = f""", presented AS (
+SELECT entity, {_WIDE},
+       round_even(max(CASE WHEN period = '2000-01' THEN score END)
+                - max(CASE WHEN period = '1996' THEN score END), 4) AS change
+FROM scored GROUP BY entity)
+SELECT p.*, name, name || ' (' || state || ')' AS label, state, region,
+       CASE WHEN change > 0 THEN 'Piorou' WHEN change < 0 THEN 'Melhorou' ELSE 'Estavel' END
+         AS direction
+FROM presented p JOIN entities USING (entity)"""
+
+
 @query(on_layers("""
 SELECT entity, name, name || ' (' || w.state || ')' AS label, w.state, w.region,
        CASE WHEN round_even(change, 4) > 0 THEN 'Piorou' WHEN round_even(change, 4) < 0
             THEN 'Melhorou' ELSE 'Estavel' END AS direction,
-       round(index_1996, 3) AS index_1996, round(index_2000_01, 3) AS index_2000_01
+       round_even(index_1996, 4) AS index_1996, round_even(index_2000_01, 4) AS index_2000_01
 FROM changes w JOIN entities e USING (entity)"""))
 def ranking_presentation(d) -> DataFrame:
     """The ranking as published: names, rounded values, and the direction of the change."""
     table = ranking_table(d.wide, d.entities.select("entity", "name"))
-    exact = d.wide.select(
-        "entity", F.round("index_1996", 3).alias("index_1996"),
-        F.round("index_2000_01", 3).alias("index_2000_01"),
-    )
-    return table.select("entity", "name", "label", "state", "region", "direction").join(
-        exact, "entity"
+    return table.select(
+        "entity", "name", "label", "state", "region", "direction", "index_1996", "index_2000_01"
     )
 
 
-@query(None)
+@query(on_layers(_RANKING))
 def ranking_presentation_full(d) -> DataFrame:
-    """All rounded columns of the published ranking (half to even, so rows only)."""
-    return ranking_table(d.wide, d.entities.select("entity", "name"))
-
-
-@query(None)
+    """All rounded columns of the published ranking, half to even."""
+    means = {c: F.round(c, 7) for c in d.wide.columns if c.startswith("coverage")}
+    return ranking_table(d.wide.withColumns(means), d.entities.select("entity", "name"))
+
+
+def _rates_by(keys: str, years: str) -> str:
+    return f"""
+parts AS (
+  SELECT {keys}, band, sum(cases) AS c, sum(population) AS p FROM gold WHERE {years}
+  GROUP BY {keys}, band),
+part_rates AS (
+  SELECT {keys}, sum(CASE WHEN p > 0 THEN CAST(c AS DOUBLE) / p ELSE 0 END * w) * 100000 AS std_rate
+  FROM parts JOIN weights USING (band) GROUP BY {keys})"""
+
+
+_NORM = lambda c, k: f"(least(greatest({c}, {k}0), {k}1) - {k}0) / ({k}1 - {k}0)"
+_REGIONS = f""", parts AS (
+  SELECT region, period, band, sum(cases) AS c, sum(population) AS p FROM tagged
+  GROUP BY region, period, band),
+part_rates AS (
+  SELECT region, period,
+         sum(CASE WHEN p > 0 THEN CAST(c AS DOUBLE) / p ELSE 0 END * w) * 100000 AS std_rate
+  FROM parts JOIN weights USING (band) GROUP BY region, period),
+sums AS (
+  SELECT region, period, CAST(sum(cases) AS BIGINT) AS cases, CAST(sum(severe) AS BIGINT) AS severe,
+         CAST(sum(deaths) AS BIGINT) AS deaths, avg(coverage) AS coverage,
+         CAST(sum(severe) AS DOUBLE) / nullif(sum(cases), 0) AS severe_frac,
+         CAST(sum(deaths) AS DOUBLE) / nullif(sum(cases), 0) AS death_frac
+  FROM tagged GROUP BY region, period),
+n AS (
+  SELECT *, {_NORM("std_rate", "r")} AS rn, {_NORM("severe_frac", "s")} AS sn,
+         {_NORM("death_frac", "d")} AS dn
+  FROM sums JOIN part_rates USING (region, period), ruler)
+SELECT region, period, cases, severe, deaths, round_even(coverage, 2) AS coverage,
+       round_even(std_rate, 2) AS std_rate, round_even(100.0::DOUBLE * severe_frac, 2) AS severe_frac,
+       round_even(100.0::DOUBLE * death_frac, 2) AS death_frac, round_even(rn, 4) AS std_rate_norm,
+       round_even(sn, 4) AS severe_frac_norm, round_even(dn, 4) AS death_frac_norm,
+       round_even(rn / 3 + sn / 3 + dn / 3, 4) AS region_index
+FROM n"""
+
+
+@query(on_layers(_REGIONS))
 def region_presentation(d) -> DataFrame:
-    """Region index as published (half to even)."""
+    """Region index as published, half to even."""
     return region_summary(d.regions)
 
 
-@query(None)
+@query(on_layers("," + _rates_by("region, sex", "year IN (2000, 2001)") + """
+SELECT region, sex, CAST(sum(cases) AS BIGINT) AS cases, CAST(sum(severe) AS BIGINT) AS severe,
+       CAST(sum(deaths) AS BIGINT) AS deaths, round_even(min(std_rate), 2) AS std_rate,
+       round_even(100.0::DOUBLE * sum(severe) / nullif(sum(cases), 0), 2) AS severe_pct,
+       round_even(100.0::DOUBLE * sum(deaths) / nullif(sum(cases), 0), 2) AS death_pct,
+       round_even(sum(age_sum)::DOUBLE / nullif(sum(age_known), 0), 1) AS mean_age
+FROM gold JOIN part_rates USING (region, sex) WHERE year IN (2000, 2001) GROUP BY region, sex"""))
 def sex_presentation(d) -> DataFrame:
-    """Region by sex profile as published (half to even)."""
+    """Region by sex profile as published, half to even."""
     return sex_table(d.sexes)
 
 

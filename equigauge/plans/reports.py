@@ -4,16 +4,62 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from equigauge.config import Study
 from equigauge.functions.labels import block_of_year, block_order
 from equigauge.functions.numeric import money_sum, ratio, ratio_of_sums
+from equigauge.operators.measures import measure_columns, measures
 
 # Reports take the grid ("gold") or the index tables and return small tables; each is one
 # aggregation, so cells of a group combine before they are shuffled.
 
 
+def shown(cells: DataFrame, by: Sequence, names: Sequence[str], digits: dict[str, int]) -> DataFrame:
+    """Measures of the registry by any keys, rounded half up as the reports show them."""
+    table = measures(cells, by, names, report_measures())
+    return table.withColumns({n: F.round(F.col(n), d) for n, d in digits.items() if n in names})
+
+
+def report_measures() -> dict[str, Column]:
+    """The registry, with shares in percent, which is how reports show them."""
+    known = measure_columns()
+    return known | {
+        "population": F.sum("population").cast("long"),
+        "severe_pct": ratio_of_sums("severe", "cases", 100.0),
+        "death_pct": ratio_of_sums("deaths", "cases", 100.0),
+    }
+
+
+REPORT_DIGITS = {"cost": 2, "crude_rate": 1, "severe_pct": 2, "death_pct": 2}
+
+
+def national_panorama(cells: DataFrame) -> DataFrame:
+    names = ["cases", "severe", "deaths", "cost", "severe_pct", "death_pct"]
+    return shown(cells, ["year"], names, REPORT_DIGITS).orderBy("year")
+
+
+def region_rates(cells: DataFrame) -> DataFrame:
+    return shown(cells, ["region", "year"], ["cases", "population", "crude_rate"], REPORT_DIGITS)
+
+
+def region_blocks(cells: DataFrame, study: Study) -> DataFrame:
+    block = block_of_year(F.col("year"), study).alias("block")
+    return shown(cells, ["region", block], ["crude_rate", "severe_pct"], REPORT_DIGITS)
+
+
+def sex_by_region(cells: DataFrame) -> DataFrame:
+    return shown(cells, ["region", "sex"], ["cases", "severe_pct", "death_pct"], REPORT_DIGITS)
+
+
+def top_severe(cells: DataFrame, study: Study, top: int = 50) -> DataFrame:
+    """Entities with enough cases by their share of severe ones; ties go to the smaller code."""
+    names = ["cases", "severe", "severe_pct"]
+    table = shown(cells, ["entity", "state", "region"], names, REPORT_DIGITS)
+    enough = table.filter(F.col("cases") >= study.min_total)
+    return enough.orderBy(F.desc_nulls_last("severe_pct"), "entity").limit(top)
+
+
 def national_series(gold: DataFrame) -> DataFrame:
     return gold.groupBy("year").agg(F.sum("cases").cast("long").alias("cases")).orderBy("year")
 

@@ -1,7 +1,8 @@
 """The order tables in the role of admission records.
 
 An order line is an admission, a customer the entity, its nation the state. Every layer is derived
-from the given tables by Spark; nothing is made up and nothing is sampled.
+from the given tables by Spark and nothing is sampled. The tables hold no census: the population of
+a cell is key arithmetic over the customers.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from equigauge.operators.profiles import (
 )
 from equigauge.operators.rollup import code_lookup, expand_code, label_sex, merge_cells, roll_up
 from equigauge.operators.scale import apply_scale, check_scale, fit_scale, index_change
-from equigauge.operators.standardize import standard_population
+from equigauge.operators.standardize import sound, standard_population
 from equigauge.session import staged
 from equigauge.sources.nested import COVERAGE_SERIES, annual_coverage, coverage_rows, union_coverage
 
@@ -46,17 +47,6 @@ TABLES_STUDY = Study(
 )
 
 
-_schemas: dict[str, StructType] = {}
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Its footer schema is read once per path and process."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
-
-
 def entity_code(custkey: Column) -> Column:
     return F.lpad(custkey.cast("string"), CODE_LENGTH, "0")
 
@@ -74,8 +64,16 @@ class Layers:
     sf_dir: str
     study: Study = TABLES_STUDY
 
+    @cached_property
+    def _schemas(self) -> dict[str, StructType]:
+        return {}
+
     def table(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.sf_dir, name)
+        """A given table. Its footer schema is read once for all layers."""
+        path = f"{self.sf_dir}/{name}.parquet"
+        if name not in self._schemas:
+            self._schemas[name] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schemas[name]).parquet(path)
 
     @cached_property
     def places(self) -> DataFrame:
@@ -247,7 +245,7 @@ class Layers:
         lookup = code_lookup(self.entities, CODE_LENGTH, ["state", "region"])
         events = label_sex(expand_code(self.silver, lookup), SEX_BY_RECORD_CODE)
         return additive_cells(
-            self.census, self.study.years if years is None else years, events
+            self.census, self.study.years if years is None else years, events, complete=True
         )
 
     @cached_property
@@ -282,7 +280,7 @@ class Layers:
     @cached_property
     def ranked(self) -> DataFrame:
         """Components of the ranked entities, written once: the ruler and the index read them."""
-        return staged(self.components.filter("ranked").drop("problem"), "ranked")
+        return staged(sound(self.components.filter("ranked")), "ranked")
 
     @cached_property
     def period_coverage(self) -> DataFrame:
@@ -332,9 +330,9 @@ class Layers:
     @cached_property
     def regions(self) -> DataFrame:
         """Region components over all entities, on the ruler of the ranked ones."""
-        components = region_components(
-            self.cells(self.period_years), self.standard, self.study
-        ).drop("problem")
+        components = sound(
+            region_components(self.cells(self.period_years), self.standard, self.study)
+        )
         return apply_scale(
             components.join(self.region_coverage, ["region", "period"], "left"),
             self.ruler,
@@ -345,6 +343,6 @@ class Layers:
     @cached_property
     def sexes(self) -> DataFrame:
         """Region by sex profile of the current period."""
-        return sex_profile(
-            self.cells(self.study.current.years), self.standard, self.study
-        ).drop("problem")
+        return sound(
+            sex_profile(self.cells(self.study.current.years), self.standard, self.study)
+        )

@@ -14,7 +14,7 @@ ADAPTIVE_SETTINGS = {
     # Split a skewed join side even where that costs one more shuffle downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Where every partition of one side is small, join by hash instead of sorting both sides.
-    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "128m",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "32m",
     "spark.sql.session.timeZone": "UTC",
 }
 

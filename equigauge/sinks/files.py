@@ -13,10 +13,14 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_partitioned(df: DataFrame, path: str, keys: Sequence[str], mode: str = "append") -> None:
-    """One folder per key value. The incoming partitioning is kept, so a value that holds most
-    rows is still written by many tasks."""
-    df.write.mode(mode).partitionBy(*keys).parquet(path)
+def write_partitioned(df: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """One folder per key value; folders of values that are written again are replaced.
+
+    So a repeated run leaves no row twice. The incoming partitioning is kept, so a value that
+    holds most rows is still written by many tasks.
+    """
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*keys).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -24,14 +28,27 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def decimal_comma(col: Column) -> Column:
-    """A double in plain notation with a decimal comma."""
+    """A double in plain notation with a decimal comma, with every digit that it has."""
     text = col.cast("string")
-    plain = F.rtrim(col.cast("decimal(38,12)").cast("string"), F.lit("0"))
-    plain = F.when(F.endswith(plain, F.lit(".")), F.concat(plain, F.lit("0"))).otherwise(plain)
-    number = F.when(F.contains(text, F.lit("E")), plain).otherwise(text)
+    number = F.when(F.contains(text, F.lit("E")), plain_notation(text)).otherwise(text)
     return F.replace(number, F.lit("."), F.lit(","))
 
 
+def plain_notation(text: Column) -> Column:
+    """``d.dddE±x`` without its exponent: the point is moved through the digits."""
+    parts = lambda group: F.regexp_extract(text, r"^(-?)(\d+)\.(\d+)E(-?\d+)$", group)
+    sign, lead, tail = parts(1), parts(2), F.regexp_replace(parts(3), "0+$", "")
+    digits = F.concat(lead, tail)
+    point = F.length(lead) + parts(4).try_cast("int")
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
+    large = F.concat(digits, F.repeat(F.lit("0"), point - F.length(digits)), F.lit(".0"))
+    inside = F.concat(
+        F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits))
+    )
+    moved = F.when(point <= 0, small).when(point >= F.length(digits), large).otherwise(inside)
+    return F.concat(sign, moved)
+
+
 def locale_columns(df: DataFrame) -> DataFrame:
     """Fractions as decimal-comma text; booleans as True/False; other columns unchanged."""
     out = []

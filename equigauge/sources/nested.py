@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from equigauge.config import CENSUS_GROUPS_BY_BAND, SEX_BY_CENSUS_CODE, STATE_BY_CODE
 from equigauge.functions.codes import look_up
+from equigauge.functions.numeric import half_even
 from equigauge.functions.text import lenient_double, locale_double, strip, year_of_period
 
 # Shape of a census response (field names are fixed values of the service).
@@ -95,10 +96,10 @@ def union_coverage(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def annual_coverage(monthly: DataFrame, digits: int | None = 2) -> DataFrame:
-    """Mean of the monthly values per code, year and source."""
+    """Mean of the monthly values per code, year and source, rounded half to even."""
     mean = F.avg("coverage")
     return monthly.groupBy("code", "year", "source").agg(
-        (mean if digits is None else F.round(mean, digits)).alias("coverage")
+        (mean if digits is None else half_even(mean, digits)).alias("coverage")
     )
 
 

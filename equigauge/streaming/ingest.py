@@ -65,9 +65,18 @@ def ingest(
 
 
 def progress_counts(query: StreamingQuery) -> dict[str, int]:
-    """Observed counts added up over the batches of a run."""
+    """Observed counts added up over the batches of a run.
+
+    Spark keeps the progress of the last hundred batches or so; of a longer run the counts would
+    be too small, so they are refused; count the written table then.
+    """
     totals: dict[str, int] = {}
-    for progress in query.recentProgress:
+    held = query.recentProgress
+    conf = SparkSession.active().conf
+    kept = int(conf.get("spark.sql.streaming.numRecentProgressUpdates"))
+    if len(held) >= kept:
+        raise ValueError("the run has more batches than progress is kept for")
+    for progress in held:
         row = progress.observedMetrics.get(METRICS)
         if row is not None:
             for name, value in row.asDict().items():

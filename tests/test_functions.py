@@ -101,6 +101,9 @@ def test_file_names(spark):
     got = df.select(*[c.alias(k) for k, c in file_name_parts(F.col("name")).items()]).collect()
     assert [tuple(r) for r in got] == [
         ("SP", 2019, 1), ("AC", 2024, 12), (None,) * 3, (None,) * 3, (None,) * 3]
+    old = spark.createDataFrame([("RDSP9601.dbc",)], "name string")
+    year = lambda *range_: old.select(file_name_parts(F.col("name"), *range_)["year"]).first()[0]
+    assert year() is None and year((1990, 2010)) == 1996
 
 
 def test_clip_keeps_missing_values(column_of):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from equigauge import health_study
 from equigauge.operators.eligibility import (
-    check_totals, exclusion_funnel, rank_eligibility, ranked_in_both, volume_flag,
+    exclusion_funnel, rank_eligibility, ranked_in_both, volume_flag,
 )
 from equigauge.operators.scale import (
     apply_scale, check_periods, check_scale, composite_index, fit_scale, index_change,
@@ -130,8 +130,17 @@ def test_two_ranking_rules(spark):
 
 
 def test_missing_total_is_an_error(spark):
-    with pytest.raises(ValueError, match="without a total"):
-        check_totals(flagged(spark, COUNTS, {k: v for k, v in TOTALS.items() if k != "in"}))
+    with pytest.raises(Exception, match="without a total: in"):
+        flagged(spark, COUNTS, {k: v for k, v in TOTALS.items() if k != "in"}).collect()
+
+
+def test_missing_period_is_an_error(spark):
+    one = {e: (n, None) for e, (n, _) in COUNTS.items()}
+    with pytest.raises(Exception, match="a period is absent"):
+        flagged(spark, one, TOTALS).collect()
+    scored = composite_index(frame(spark), STUDY).filter(F.col("period") == BASE)
+    with pytest.raises(Exception, match="a period is absent"):
+        index_change(scored, STUDY).collect()
 
 
 def test_funnel_parts_add_up(spark):

@@ -64,6 +64,17 @@ def test_additive_cells_add_up_like_the_grid(world):
         pd.testing.assert_frame_equal(got, expected, check_dtype=False)
 
 
+def test_events_without_a_population_cell_count_nowhere(world):
+    gone = (F.col("sex") == "F") & (F.col("band") == STUDY.bands.labels[1])
+    holed = world["population"].filter(~gone)
+    assert world["events"].filter(gone).count() > 0
+    cells = additive_cells(holed, STUDY.years, world["events"])
+    grid = dense_grid(holed, STUDY.years, world["events"])
+    sums = [F.sum(c).alias(c) for c in ("cases", "severe", "population")]
+    got, expected = (by(df.groupBy("entity", "year").agg(*sums), "entity", "year") for df in (cells, grid))
+    pd.testing.assert_frame_equal(got, expected, check_dtype=False)
+
+
 def test_sparse_components_match_grid_and_brute_force(world):
     columns = ["cases", "severe", "deaths", "std_rate", "severe_frac", "death_frac"]
     sparse = by(entity_components_sparse(

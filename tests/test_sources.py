@@ -115,6 +115,24 @@ def test_locale_csv_round_trip(spark, tmp_path):
 def test_decimal_comma_never_uses_exponents(column_of):
     got = column_of([1e7, 1.25e9, 0.0005, -2e8, None], "double", lambda c: decimal_comma(F.col(c)))
     assert got == ["10000000,0", "1250000000,0", "0,0005", "-200000000,0", None]
+    got = column_of([1e-13, 1e30, -1.25e-9, 1.2345678901234567e8, float("nan")], "double",
+                    lambda c: decimal_comma(F.col(c)))
+    assert got == ["0,0000000000001", "1" + "0" * 30 + ",0", "-0,00000000125", "123456789,01234567",
+                   "NaN"]
+
+
+def test_partitioned_write_can_be_repeated(spark, tmp_path):
+    path = str(tmp_path / "tree")
+    first = spark.createDataFrame([(1, "a"), (2, "b")], "x int, k string")
+    for _ in range(2):
+        write_partitioned(first, path, ["k"])
+    write_partitioned(first.filter("k = 'b'").withColumn("x", F.lit(5)), path, ["k"])
+    assert sorted((r["x"], r["k"]) for r in read_tree(spark, path).collect()) == [(1, "a"), (5, "b")]
+
+
+def test_annual_mean_rounds_half_to_even(spark):
+    monthly = spark.createDataFrame([("1", 2020, "s", 0.125)], "code string, year int, source string, coverage double")
+    assert annual_coverage(monthly).first()["coverage"] == 0.12
 
 
 def test_csv_keeps_leading_zeros(spark, tmp_path):
@@ -129,7 +147,7 @@ def test_partitioned_tree_takes_year_from_the_path(spark, tmp_path):
     df = spark.createDataFrame([("SP", 2019, 1), ("SP", 2020, 2)], "state string, year int, n int")
     write_partitioned(df, path, ["state", "year"])
     write_partitioned(df.limit(1), path, ["state", "year"])
-    assert read_tree(spark, path).count() == 3
+    assert read_tree(spark, path).count() == 2
     plan = read_tree(spark, path).filter("year = 2020")
     assert [r["n"] for r in plan.collect()] == [2]
     assert read_tree(spark, path, path_keys=False).columns == ["n"]

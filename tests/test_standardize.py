@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from equigauge import Bands, health_study
 from equigauge.operators.standardize import (
+    sound,
     check_standardized, repeated_bands, standard_rate, standardize, standardize_by_entity,
 )
 
@@ -115,3 +116,19 @@ def test_random_groups_match_plain_arithmetic(spark, standard):
     got = rates(cells(spark, rows), standard)
     assert got.keys() == expected.keys()
     assert all(got[k] == pytest.approx(expected[k]) for k in got)
+
+
+def test_problem_groups_have_no_silent_rate(spark):
+    label = STUDY.bands.labels
+    rows = [("a", label[0], 5, 100), ("b", label[0], 0, 0), ("c", label[0], 1, 10), ("c", label[0], 1, 10)]
+    df = spark.createDataFrame(rows, "g string, band string, cases long, population long")
+    standard = spark.createDataFrame([(b, 10) for b in label], "band string, population long")
+    got = {r["g"]: (r["std_rate"], r["problem"])
+           for r in standardize(df, ["g"], standard, STUDY, aggregated=True).collect()}
+    assert got["a"][0] > 0 and got["a"][1] is None
+    assert got["b"] == (None, "no population in any band")
+    assert got["c"][1] == "a band occurs more than once"
+    rates = standardize(df.filter("g <> 'c'"), ["g"], standard, STUDY)
+    assert rates.filter("g = 'b'").first()["problem"] == "no population in any band"
+    with pytest.raises(Exception, match="no population in any band"):
+        sound(rates).collect()

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from equigauge import health_study
 from equigauge.operators.validate import (
-    check_export, check_ranges, completeness, completeness_of, export_checks, loss_account,
+    check_export, check_ranges, completeness_of, export_checks, loss_account,
     missing_inputs, orphan_denominators, orphan_key_share, population_contract, reconcile,
     reject_gate, reject_summary,
 )
@@ -11,14 +11,6 @@ from equigauge.operators.validate import (
 STUDY = health_study()
 
 
-def test_completeness():
-    good = completeness(1944, 1930)
-    assert good["passed"] and good["missing"] == 14
-    assert not completeness(1944, 1500)["passed"]
-    assert completeness(0, 0)["missing_share"] == 0.0
-    assert completeness(10, 12)["passed"]
-
-
 def test_completeness_of_frames(spark):
     expected = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "file string")
     done = spark.createDataFrame([("a",), ("a",)], "file string")
