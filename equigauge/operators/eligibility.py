@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from equigauge.config import Study
+from equigauge.session import staged
 
 
 def volume_flag(df: DataFrame, cut: int) -> DataFrame:
@@ -57,6 +58,50 @@ def rank_eligibility(stacked: DataFrame, totals: DataFrame, study: Study) -> Dat
     return stacked.join(flags, "entity")
 
 
+def rank_by_events(events: DataFrame, study: Study) -> DataFrame:
+    """`rank_eligibility` straight from (entity, year, cases): one pass over the events.
+
+    Totals and periods come from one aggregation by entity, written once, because whether a period
+    is there at all is asked of the same few rows. Entities without a case in either period have
+    no row.
+    """
+    periods = study.periods
+    sums = staged(
+        events.groupBy("entity").agg(
+            F.sum("cases").cast("long").alias("total_cases"),
+            *[
+                F.sum(F.when(F.col("year").isin(*p.years), F.col("cases"))).cast("long").alias(f"_n{i}")
+                for i, p in enumerate(periods)
+            ],
+        ),
+        "entity-cases",
+    )
+    counts = [F.col(f"_n{i}") for i in range(len(periods))]
+    seen = sums.agg(*[F.count(c).alias(f"s{i}") for i, c in enumerate(counts)])
+    present = seen.select(F.least(*[F.col(c) for c in seen.columns]) > 0).scalar()
+    enough = F.lit(True)
+    for count in counts:
+        enough = enough & F.coalesce(count >= study.min_period, F.lit(False))
+    flags = sums.withColumns(
+        {
+            "passed_total": F.col("total_cases") >= study.min_total,
+            "passed_period": F.when(present, enough).otherwise(
+                F.raise_error(F.lit("a period is absent from the frame")).cast("boolean")
+            ),
+        }
+    ).withColumn("ranked", F.col("passed_total") & F.col("passed_period"))
+    rows = F.array(
+        *[
+            F.struct(F.lit(p.label).alias("period"), count.alias("cases"))
+            for p, count in zip(periods, counts, strict=True)
+        ]
+    )
+    flat = flags.select(
+        "entity", F.inline(rows), "total_cases", "passed_total", "passed_period", "ranked"
+    )
+    return flat.filter(F.col("cases").isNotNull())
+
+
 # Funnel outcomes, in the order the rules are tried.
 BELOW_TOTAL, BELOW_PERIOD, INCOMPLETE, RANKED = (
     "below_total", "below_period", "incomplete", "ranked",

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from equigauge.operators.eligibility import exclusion_funnel, rank_eligibility, volume_flag
-from equigauge.operators.profiles import with_period
+from equigauge.operators.eligibility import (
+    exclusion_funnel, rank_by_events, rank_eligibility, volume_flag,
+)
 from equigauge.operators.scale import (
     composite_index, fit_scale, min_max, winsorize,
 )
 from equigauge.operators.sensitivity import shared_top, top_entities, weight_sensitivity
 from equigauge.operators.standardize import (
-    repeated_bands, standard_rate, standardize, standardize_by_entity,
+    sound, repeated_bands, standard_rate, standardize, standardize_by_entity,
 )
 from equigauge.plans.catalogue.base import big, on_layers, query, rounded
+from equigauge.session import staged
 
 
 @query(on_layers("""
@@ -130,11 +132,7 @@ def volume_flags(d) -> DataFrame:
 
 def _flagged(d) -> DataFrame:
     """Eligibility by the general operator, on a frame where some entities lack a period."""
-    stacked = (
-        with_period(d.events, d.study).groupBy("entity", "period").agg(big("cases"))
-    )
-    totals = d.events.groupBy("entity").agg(F.sum("cases").cast("long").alias("total_cases"))
-    return rank_eligibility(stacked, totals, d.study)
+    return rank_by_events(d.events, d.study)
 
 
 _FLAGGED_SQL = """, stacked AS (
@@ -231,7 +229,7 @@ def entity_index(d) -> DataFrame:
 @query(on_layers(_INDEX_SQL))
 def entity_index_from_grid(d) -> DataFrame:
     """The index by fit and apply in one call, on grid components cut by the general rules."""
-    components = d.components_dense.drop("problem")
+    components = staged(sound(d.components_dense), "components")
     totals = d.events.groupBy("entity").agg(F.sum("cases").cast("long").alias("total_cases"))
     ranked = rank_eligibility(components, totals, d.study).filter("ranked")
     return rounded(composite_index(ranked, d.study).select(*_INDEX_COLUMNS))

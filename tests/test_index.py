@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from equigauge import health_study
 from equigauge.operators.eligibility import (
-    exclusion_funnel, rank_eligibility, ranked_in_both, volume_flag,
+    exclusion_funnel, rank_by_events, rank_eligibility, ranked_in_both, volume_flag,
 )
 from equigauge.operators.scale import (
     apply_scale, check_periods, check_scale, composite_index, fit_scale, index_change,
@@ -129,6 +129,18 @@ def test_two_ranking_rules(spark):
         "in", "other"}
 
 
+def test_one_pass_over_the_events_gives_the_same_flags(spark):
+    base, current, other = STUDY.base.years[0], STUDY.current.years[0], STUDY.years[1]
+    rows = [(e, y, n) for e, pair in COUNTS.items() for y, n in zip((base, current), pair) if n is not None]
+    rows += [(e, other, n - sum(x or 0 for x in COUNTS[e])) for e, n in TOTALS.items()]
+    events = spark.createDataFrame(rows, "entity string, year int, cases long")
+    want = {(r["entity"], r["period"]): r.asDict() for r in flagged(spark, COUNTS, TOTALS).collect()}
+    got = {(r["entity"], r["period"]): r.asDict() for r in rank_by_events(events, STUDY).collect()}
+    assert got == want
+    with pytest.raises(Exception, match="a period is absent"):
+        rank_by_events(events.filter(F.col("year") != base), STUDY).collect()
+
+
 def test_missing_total_is_an_error(spark):
     with pytest.raises(Exception, match="without a total: in"):
         flagged(spark, COUNTS, {k: v for k, v in TOTALS.items() if k != "in"}).collect()
