@@ -9,8 +9,8 @@
    by estimated similarity, from the number of equal four-bit fields less chance collisions, with
    a margin of six standard deviations, and then confirmed on the full sets.
 3. Confirmed links give components. Only members of one bucket that are still in different
-   components are compared further: first each with its most similar partner, and then, with what
-   remains, all of them, in blocks of bounded size, so that no link between two texts is lost.
+   components are compared further, by signatures and then by full sets, in blocks of bounded
+   size, each pair in the first bucket that it shares, so that no link between two texts is lost.
    Nothing is compared inside a component, which is where large groups are.
 
 Two sets of similarity s share no band with probability (1 - s^4)^32: 5e-8 at 0.8, less above; the
@@ -44,7 +44,7 @@ WIDTH = 5
 PERCENT = 80
 HASHES, ROWS, BITS = 128, 4, 4
 #: Members and leftovers of a bucket that meet in one block.
-MEMBER_BLOCK, LEFT_BLOCK = 1024, 256
+MEMBER_BLOCK, LEFT_BLOCK = 512, 256
 #: Members that are streamed past one copy of their hub.
 HUB_SLICE = 256
 #: Bits of the bitmap over ids of candidates: 4 MB.
@@ -70,7 +70,7 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     known = _word_hashes
-    if len(known) > 300_000:
+    if len(known) > 200_000:
         known.clear()
     for word in set(words):
         if word not in known:
@@ -151,6 +151,7 @@ def _signatures(width: int):
                 ],
                 names=["doc_id", "n_shingles", "node", "bands", "bits"],
             )
+        _word_hashes.clear()
 
     return sign
 
@@ -191,6 +192,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 ],
                 names=["node", "shingles"],
             )
+        _word_hashes.clear()
 
     rows = docs.select("text", F.coalesce(bit, F.lit(0)).alias("bit"))
     return rows.mapInArrow(sets, "node binary, shingles binary").dropDuplicates(["node"])
@@ -250,101 +252,155 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 _ZERO_FIELDS = np.array([(x & 15 == 0) + (x >> 4 == 0) for x in range(256)], np.uint8)
 
 
-def _compared(least: int, best: bool):
-    """Pairs of a leftover and a member of another component, group by group."""
-
-    def pairs_of(rows: list[dict]) -> list[tuple[bytes, bytes]]:
-        left = [r for r in rows if r["side"] == 0]
-        members = [r for r in rows if r["side"] == 1]
-        if not left or not members:
-            return []
-        bits = np.array([r["bits"] for r in members], np.int64).view(np.uint8)
-        owners = np.array([r["owner"] for r in members], object)
-        late = np.array([r["late"] for r in members])
-        names = np.array([r["node"] for r in members], object)
-        out = []
-        for r in left:
-            own = np.array(r["bits"], np.int64).view(np.uint8)
-            equal = _ZERO_FIELDS[bits ^ own].sum(axis=1, dtype=np.int32)
-            fits = (equal >= least) & (owners != r["owner"])
-            # Two leftovers meet in both orders; one is enough.
-            fits &= ~late | (names > r["node"]) if not best else True
-            at = np.flatnonzero(fits)
-            if best and len(at):
-                at = at[np.argmax(equal[at])][None]
-            out += [(r["node"], names[i]) for i in at]
-        return out
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows = None, []
-
-        def packed(found):
-            return pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in found], pa.binary()), pa.array([p[1] for p in found], pa.binary())],
-                names=["node", "hub"],
+def _met(rows: list[dict], least: int) -> Iterator[tuple[dict, np.ndarray, list[dict]]]:
+    """Each leftover of a block, the members that it is to be compared with, and all members.
+
+    These are of other components, similar enough by their signatures, and meet here first: the
+    block's bucket is of the first band that the two share. Two leftovers meet in one order only.
+    """
+    left = [r for r in rows if r["side"] == 0]
+    members = [r for r in rows if r["side"] == 1]
+    if not left or not members:
+        return
+    bits = np.array([r["bits"] for r in members], np.int64).view(np.uint8)
+    bands = np.array([r["bands"] for r in members], np.int64)
+    owners = np.array([r["owner"] for r in members], object)
+    names = np.array([r["node"] for r in members], object)
+    early = np.array([not r["late"] for r in members])
+    for r in left:
+        own_bits, own_bands = np.array(r["bits"], np.int64).view(np.uint8), np.array(r["bands"], np.int64)
+        equal = _ZERO_FIELDS[bits ^ own_bits].sum(axis=1, dtype=np.int32)
+        at = np.flatnonzero((equal >= least) & (owners != r["owner"]) & (early | (names > r["node"])))
+        first = (bands[at] == own_bands).argmax(axis=1)
+        at = at[own_bands[first] == r["bucket"]]
+        if len(at):
+            yield r, at[np.argsort(-equal[at], kind="stable")], members
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    group, rows = None, []
+    for batch in small_batches(batches, 256):
+        for row in batch.to_pylist():
+            key = (row["bucket"], row["left_block"], row["member_block"])
+            if key != group:
+                if rows:
+                    yield rows
+                group, rows = key, []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _marked(least: int):
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """bucket and node of those that have anything to be compared with."""
+        for rows in _blocks(batches):
+            nodes = set()
+            for r, at, members in _met(rows, least):
+                nodes.add(r["node"])
+                nodes.update(members[i]["node"] for i in at.tolist())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([rows[0]["bucket"]] * len(nodes), pa.int64()), pa.array(sorted(nodes), pa.binary())],
+                names=["bucket", "node"],
             )
 
-        for batch in small_batches(batches):
+    return mark
+
+
+def _linked(least: int, percent: int):
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links that join components: a link between two that are joined already isn't sought."""
+        for rows in _blocks(batches):
+            root: dict[bytes, bytes] = {}
+
+            def top(x: bytes, root=root) -> bytes:
+                while x in root:
+                    x = root[x]
+                return x
+
             found = []
-            for row in batch.to_pylist():
-                key = (row["bucket"], row["left_block"], row["member_block"])
-                if key != group:
-                    found += pairs_of(rows)
-                    group, rows = key, []
-                rows.append(row)
-            yield packed(found)
-        yield packed(pairs_of(rows))
+            for r, at, members in _met(rows, least):
+                own = np.frombuffer(r["shingles"], np.uint64)
+                for m in map(members.__getitem__, at.tolist()):
+                    mine, others = top(r["owner"]), top(m["owner"])
+                    if mine == others:
+                        continue
+                    other = np.frombuffer(m["shingles"], np.uint64)
+                    if 100 * min(len(own), len(other)) < percent * max(len(own), len(other)):
+                        continue
+                    near = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                    both = int((own[near] == other).sum())
+                    if 100 * both >= percent * (len(own) + len(other) - both):
+                        found.append((r["node"], m["node"]))
+                        root[mine] = others
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())],
+                names=["a", "b"],
+            )
+
+    return link
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Every leftover with every member of its bucket, in blocks of bounded size."""
+    draw = F.xxhash64("node")
+    member = rows.withColumn("side", F.lit(1)).withColumn(
+        "member_block", F.pmod(draw, F.col("member_blocks")).cast("int")
+    ).withColumn("left_block", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)))
+    left = rows.filter("late").withColumn("side", F.lit(0)).withColumn(
+        "left_block", F.pmod(draw, F.col("left_blocks")).cast("int")
+    ).withColumn("member_block", F.explode(F.sequence(F.lit(0), F.col("member_blocks") - 1)))
+    names = ["bucket", "left_block", "member_block", "node", "owner", "late", "side"]
+    return left.select(*names).union(member.select(*names))
+
 
-    return compare
+def _dealt(rows: DataFrame) -> DataFrame:
+    keys = ["bucket", "left_block", "member_block"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys)
 
 
-def open_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, least: int, best: bool) -> DataFrame:
-    """Candidate pairs of a bucket that are in different components.
+def open_links(
+    members: DataFrame, nodes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
+) -> DataFrame:
+    """Links between nodes that share a bucket and are in different components still.
 
     Of each bucket the component with most members is set against itself by nothing; all others,
-    the leftovers, meet every member that is not of their own component.
+    the leftovers, meet every member that is not of their own component. First by signatures, to
+    mark those that have to meet by their full sets; only these are sent.
     """
-    owned = members.join(labels, "node", "left").select(
-        "bucket", "node", F.coalesce("label", "node").alias("owner")
+    owned = staged(
+        members.join(labels, "node", "left").select(
+            "bucket", "node", F.coalesce("label", "node").alias("owner")
+        ),
+        "owned",
     )
-    owned = staged(owned, "owned")
-    largest = (
-        owned.groupBy("bucket", "owner").agg(F.count("*").alias("n"))
-        .groupBy("bucket")
-        .agg(
+
+    def open_buckets(rows: DataFrame) -> DataFrame:
+        sizes = rows.groupBy("bucket", "owner").agg(F.count("*").alias("n")).groupBy("bucket").agg(
             F.count("*").alias("owners"),
             F.sum("n").alias("size"),
             F.max(F.struct("n", "owner")).alias("largest"),
         )
-        .filter("owners > 1")
-        .select(
+        largest = sizes.filter("owners > 1").select(
             "bucket",
             F.col("largest.owner").alias("main"),
             F.ceil(F.col("size") / MEMBER_BLOCK).cast("int").alias("member_blocks"),
             F.ceil((F.col("size") - F.col("largest.n")) / LEFT_BLOCK).cast("int").alias("left_blocks"),
         )
-    )
-    rows = owned.join(staged(largest, "open-buckets"), "bucket").withColumn(
-        "late", F.col("owner") != F.col("main")
-    )
-    draw = F.xxhash64("node")
-    member = rows.withColumn("member_block", F.pmod(draw, F.col("member_blocks")).cast("int")).withColumn(
-        "left_block", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1))
-    )
-    left = (
-        rows.filter("late")
-        .withColumn("left_block", F.pmod(draw, F.col("left_blocks")).cast("int"))
-        .withColumn("member_block", F.explode(F.sequence(F.lit(0), F.col("member_blocks") - 1)))
-    )
-    names = ["bucket", "left_block", "member_block", "node", "owner", "late"]
-    both = left.select(*names, F.lit(0).alias("side")).union(member.select(*names, F.lit(1).alias("side")))
-    return (
-        both.join(nodes.select("node", "bits"), "node")
-        .repartition("bucket", "left_block", "member_block")
-        .sortWithinPartitions("bucket", "left_block", "member_block")
-        .mapInArrow(_compared(least, best), "node binary, hub binary")
-        .distinct()
-    )
+        joined = rows.join(staged(largest, "open-buckets"), "bucket")
+        return joined.withColumn("late", F.col("owner") != F.col("main"))
+
+    least = least_equal_fields(percent)
+    signs = nodes.select("node", "bits", "bands")
+    marked = staged(
+        _dealt(_in_blocks(open_buckets(owned)).join(signs, "node")).mapInArrow(
+            _marked(least), "bucket long, node binary"
+        ),
+        "marked",
+    ).distinct()
+    near = staged(owned.join(marked, ["bucket", "node"]), "near")
+    rows = _in_blocks(open_buckets(near)).join(signs, "node").join(sets, "node")
+    return _dealt(rows).mapInArrow(_linked(least, percent), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -390,19 +446,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     )
     candidates = nodes.join(members.select("node").distinct(), "node", "left_semi")
     sets = staged(_full_sets(texts, candidates.select("doc_id"), width), "sets")
-    tried = staged(first, "pairs")
-    links = staged(confirm(tried, sets, percent), "links")
-    labels = components(links)
-    for best in (True, False):
-        more = staged(
-            open_pairs(members, nodes, labels, least, best)
-            .join(tried, ["node", "hub"], "left_anti")
-            .join(tried.select(F.col("node").alias("hub"), F.col("hub").alias("node")), ["node", "hub"], "left_anti"),
-            "pairs",
-        )
-        new = staged(confirm(more, sets, percent), "links")
-        tried, links = tried.unionByName(more), links.unionByName(new)
-        labels = components(links)
+    links = staged(confirm(first, sets, percent), "links")
+    more = staged(open_links(members, nodes, components(links), sets, percent), "links")
+    labels = components(links.unionByName(more))
     named = nodes.select("node", "doc_id").join(labels, "node", "left").select(
         "node", "doc_id", F.coalesce("label", "node").alias("label")
     )
