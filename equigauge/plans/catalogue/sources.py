@@ -17,7 +17,9 @@ from equigauge.sinks.files import (
 )
 from equigauge.session import stage_path
 from equigauge.sources.fixed_width import decode_files, file_headers
-from equigauge.sources.nested import crosstab_to_long, flatten_census, regroup_bands
+from equigauge.sources.nested import (
+    crosstab_to_long, flatten_census, read_census, read_coverage, read_crosstab, regroup_bands,
+)
 from equigauge.sources.tables import read_csv, read_locale_csv, read_tree, sql_statements
 from equigauge.streaming.ingest import ingest, stream_files
 
@@ -234,16 +236,40 @@ def _census_documents(d) -> DataFrame:
     return d.table("customer").select(F.to_json(response).alias("json"))
 
 
-@query(on_layers(f""", groups(k, band) AS (VALUES {_GROUP_ROWS})
+_CENSUS_SQL = on_layers(f""", groups(k, band) AS (VALUES {_GROUP_ROWS})
 SELECT entity, CASE s.s WHEN 0 THEN 'M' ELSE 'F' END AS sex, g.band,
        CAST(sum(CASE WHEN (c_custkey + k) % 17 = 0 THEN 0
                      ELSE (c_custkey * 7 + k * 13 + s * 5) % 90 END) AS BIGINT) AS population
-FROM entities, (VALUES (0), (1)) s(s), groups g GROUP BY 1, 2, 3"""))
+FROM entities, (VALUES (0), (1)) s(s), groups g GROUP BY 1, 2, 3""")
+
+
+@query(_CENSUS_SQL)
 def census_bands(d) -> DataFrame:
     """Nested census responses to population by band; unreadable values count as zero."""
     return regroup_bands(flatten_census(_census_documents(d)))
 
 
+@query(_CENSUS_SQL)
+def census_files(d) -> DataFrame:
+    """The same from files, a response on each line."""
+    path = stage_path(d.spark, "census")
+    _census_documents(d).write.text(path)
+    return regroup_bands(read_census(d.spark, path, whole_files=False))
+
+
+@query(on_layers("""
+SELECT code, year, source, CAST(sum(hundredths) AS BIGINT) AS hundredths, count(*) AS months
+FROM coverage_monthly GROUP BY code, year, source"""))
+def coverage_files(d) -> DataFrame:
+    """Coverage records written as JSON and read by path."""
+    path = stage_path(d.spark, "coverage")
+    d.coverage_records.write.json(path)
+    return read_coverage(d.spark, path).groupBy("code", "year", "source").agg(
+        F.sum(F.round(F.col("coverage") * 100).cast("long")).alias("hundredths"),
+        F.count("*").alias("months"),
+    )
+
+
 @query(on_layers("""
 SELECT entity, year, source, round(coverage, 6) AS coverage FROM coverage"""))
 def coverage_two_layouts(d) -> DataFrame:
@@ -255,14 +281,17 @@ _AREA_BY_NATION = dict(enumerate(list(STATE_BY_CODE)[:25]))
 _AREA_ROWS = ", ".join(f"({i}, '{STATE_BY_CODE[c]}')" for i, c in _AREA_BY_NATION.items())
 
 
-@query(on_layers(f""", areas(n, code) AS (VALUES {_AREA_ROWS})
+_CROSSTAB_SQL = on_layers(f""", areas(n, code) AS (VALUES {_AREA_ROWS})
 SELECT a.code AS state, y.year, count(o_orderkey) AS cases
 FROM areas a CROSS JOIN years y
 JOIN customer ON c_nationkey = a.n
 LEFT JOIN orders ON o_custkey = c_custkey AND year(o_orderdate) = y.year
-GROUP BY 1, 2"""))
-def crosstab_totals(d) -> DataFrame:
-    """Crosstab text (areas down, years across, dashes and thousands marks) to rows."""
+GROUP BY 1, 2""")
+
+
+
+def _crosstab_texts(d) -> DataFrame:
+    """Crosstab texts, areas down and years across, with dashes and thousands marks."""
     years = d.study.years
     of_customer = (
         d.table("orders")
@@ -283,7 +312,7 @@ def crosstab_totals(d) -> DataFrame:
     quoted = lambda *parts: F.concat(F.lit('"'), F.array_join(F.array(*parts), '";"'), F.lit('"'))
     line = quoted(F.concat(area.cast("string"), F.lit(" Area")), *[cell(y) for y in years])
     # One line per nation (a fixed list of 25), in one text per nation key modulo five.
-    texts = counts.groupBy(F.col("c_nationkey") % 5).agg(
+    return counts.groupBy((F.col("c_nationkey") % 5).alias("part")).agg(
         F.concat(
             F.lit("Title line\n"),
             quoted(F.lit("Area"), *[F.lit(str(y)) for y in years], F.lit("Total")),
@@ -292,14 +321,28 @@ def crosstab_totals(d) -> DataFrame:
             F.lit('\n"Total";"1";"2"\nfoot note'),
         ).alias("value")
     )
-    return crosstab_to_long(texts)
+
+
+@query(_CROSSTAB_SQL)
+def crosstab_totals(d) -> DataFrame:
+    """Crosstab text to rows."""
+    return crosstab_to_long(_crosstab_texts(d))
+
+
+@query(_CROSSTAB_SQL)
+def crosstab_files(d) -> DataFrame:
+    """The same from files, one text in each."""
+    path = stage_path(d.spark, "crosstab")
+    _crosstab_texts(d).write.partitionBy("part").text(path)
+    return read_crosstab(d.spark, path)
 
 
 @query("""
-SELECT o_orderpriority AS priority, count(*) AS orders, min(o_orderdate) AS first_day
+SELECT o_orderpriority AS priority, count(*) AS orders,
+       CAST(min(o_orderdate) AS DATE) AS first_day
 FROM orders GROUP BY o_orderpriority
 UNION ALL
-SELECT o_orderstatus, count(*), min(o_orderdate) FROM orders GROUP BY o_orderstatus""")
+SELECT o_orderstatus, count(*), CAST(min(o_orderdate) AS DATE) FROM orders GROUP BY o_orderstatus""")
 def sql_file_statements(d) -> DataFrame:
     """Two statements of an SQL file, run one after another and put together."""
     first, second = (

@@ -1,7 +1,7 @@
-SELECT o_orderpriority AS priority, count(*) AS orders, min(o_orderdate) AS first_day
+SELECT o_orderpriority AS priority, count(*) AS orders, CAST(min(o_orderdate) AS DATE) AS first_day
 FROM {orders}
 GROUP BY ALL;
 
-SELECT o_orderstatus AS priority, count(*) AS orders, min(o_orderdate) AS first_day
+SELECT o_orderstatus AS priority, count(*) AS orders, CAST(min(o_orderdate) AS DATE) AS first_day
 FROM {orders}
 GROUP BY ALL

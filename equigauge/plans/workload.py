@@ -24,7 +24,7 @@ from equigauge.operators.rollup import code_lookup, expand_code, label_sex, merg
 from equigauge.operators.scale import apply_scale, check_scale, fit_scale, index_change
 from equigauge.operators.standardize import sound, standard_population
 from equigauge.session import staged
-from equigauge.sources.nested import COVERAGE_SERIES, annual_coverage, coverage_rows, union_coverage
+from equigauge.sources.nested import all_coverage, annual_coverage
 
 CODE_LENGTH = 12
 
@@ -222,7 +222,7 @@ class Layers:
 
     @cached_property
     def coverage_monthly(self) -> DataFrame:
-        return union_coverage([coverage_rows(self.coverage_records, s) for s in COVERAGE_SERIES])
+        return all_coverage(self.coverage_records)
 
     @cached_property
     def coverage(self) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from equigauge.config import CENSUS_GROUPS_BY_BAND, SEX_BY_CENSUS_CODE, STATE_BY_CODE
-from equigauge.functions.codes import look_up
+from equigauge.functions.codes import look_up, region_of_state, state_of_code
 from equigauge.functions.numeric import half_even
 from equigauge.functions.text import lenient_double, locale_double, strip, year_of_period
 
@@ -40,6 +40,19 @@ def flatten_census(documents: DataFrame, column: str = "json") -> DataFrame:
     )
 
 
+def read_census(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """Census responses in files, one in each, or one on each line."""
+    return flatten_census(spark.read.text(path, wholetext=whole_files), "value")
+
+
+def add_areas(population: DataFrame) -> DataFrame:
+    """State and region of each entity, from the first digits of its code."""
+    state = state_of_code(F.col("entity"))
+    return population.withColumn("state", state).withColumn(
+        "region", region_of_state(F.col("state"))
+    )
+
+
 def regroup_bands(
     flat: DataFrame,
     groups_by_band: Mapping[str, Sequence[int]] = CENSUS_GROUPS_BY_BAND,
@@ -88,6 +101,37 @@ def coverage_rows(records: DataFrame, series: CoverageSeries) -> DataFrame:
     ).dropna(subset=["coverage"])
 
 
+def all_coverage(
+    records: DataFrame, series: Sequence[CoverageSeries] = COVERAGE_SERIES
+) -> DataFrame:
+    """Records of all series in the common layout, in one pass over them."""
+    values = F.array(
+        *[
+            F.struct(
+                locale_double(F.col(s.value_field)).alias("coverage"), F.lit(s.source).alias("source")
+            )
+            for s in series
+        ]
+    )
+    return records.select(
+        strip(F.col("coMunicipioIbge")).alias("code"),
+        year_of_period(F.col("nuComp")).alias("year"),
+        F.inline(values),
+    ).dropna(subset=["coverage"])
+
+
+def read_coverage(spark: SparkSession, path: str) -> DataFrame:
+    """Coverage records in JSON files (an array or a line each), in the common layout."""
+    return all_coverage(spark.read.schema(COVERAGE_SCHEMA).json(path))
+
+
+def read_crosstab(
+    spark: SparkSession, path: str, states: Mapping[int, str] = STATE_BY_CODE
+) -> DataFrame:
+    """Crosstab files, each with its own line of years."""
+    return crosstab_to_long(spark.read.text(path, wholetext=True), states)
+
+
 def union_coverage(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:

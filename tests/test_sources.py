@@ -9,6 +9,7 @@ from equigauge.sinks.files import (
 )
 from equigauge.sources.fixed_width import decode_files, file_headers, read_fixed_width
 from equigauge.sources.nested import (
+    add_areas,
     COVERAGE_SCHEMA, COVERAGE_SERIES, annual_coverage, coverage_rows, crosstab_to_long,
     flatten_census, regroup_bands, union_coverage,
 )
@@ -130,6 +131,12 @@ def test_partitioned_write_can_be_repeated(spark, tmp_path):
     assert sorted((r["x"], r["k"]) for r in read_tree(spark, path).collect()) == [(1, "a"), (5, "b")]
 
 
+def test_areas_of_a_population(spark):
+    df = spark.createDataFrame([("3550308",), ("2304400",), ("9900000",)], "entity string")
+    got = {r["entity"]: (r["state"], r["region"]) for r in add_areas(df).collect()}
+    assert got == {"3550308": ("SP", "Sudeste"), "2304400": ("CE", "Nordeste"), "9900000": (None, None)}
+
+
 def test_annual_mean_rounds_half_to_even(spark):
     monthly = spark.createDataFrame([("1", 2020, "s", 0.125)], "code string, year int, source string, coverage double")
     assert annual_coverage(monthly).first()["coverage"] == 0.12
