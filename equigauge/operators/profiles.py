@@ -93,7 +93,11 @@ def sex_profile(
 
 
 def entity_components_sparse(
-    events: DataFrame, population: DataFrame, standard: DataFrame, study: Study
+    events: DataFrame,
+    population: DataFrame,
+    standard: DataFrame,
+    study: Study,
+    complete: bool = False,
 ) -> DataFrame:
     """Components of every entity and period without building the grid.
 
@@ -103,13 +107,18 @@ def entity_components_sparse(
 
     ``events`` is bronze-like (code, year, sex, band, severe, death); ``population`` has entity,
     code, state, region, sex, band, population. Sexes outside the study have no grid cell and are
-    left out, as are rows without a band or with a year outside the study.
+    left out, as are rows without a band or with a year outside the study, and events without a
+    population cell. ``complete`` says that every entity has all cells of sex and band, so that
+    the last need not be looked up.
     """
     labels, n = study.bands.labels, len(study.bands.labels)
     sexes = study.sexes
     rows = events.filter(
         F.col("band").isin(*labels) & F.col("sex").isin(*sexes) & F.col("year").isin(*study.years)
     )
+    if not complete:
+        cells = population.select("code", "sex", "band")
+        rows = rows.join(cells, ["code", "sex", "band"], "left_semi")
     sums: list[Column] = [F.count("*").alias("total_cases")]
     for i, period in enumerate(study.periods):
         here = F.col("year").isin(*period.years)

@@ -274,7 +274,8 @@ class Layers:
     def components(self) -> DataFrame:
         """Index components, all-year totals and ranking flags, straight from admission rows."""
         return entity_components_sparse(
-            label_sex(self.bronze, SEX_BY_RECORD_CODE), self.census, self.standard, self.study
+            label_sex(self.bronze, SEX_BY_RECORD_CODE), self.census, self.standard, self.study,
+            complete=True,
         )
 
     @cached_property

@@ -75,6 +75,17 @@ def test_events_without_a_population_cell_count_nowhere(world):
     pd.testing.assert_frame_equal(got, expected, check_dtype=False)
 
 
+def test_sparse_components_with_holes_match_the_grid(world):
+    gone = (F.col("sex") == "F") & (F.col("band") == STUDY.bands.labels[1])
+    holed = world["population"].filter(~gone)
+    columns = ["cases", "severe", "deaths", "std_rate", "severe_frac", "death_frac"]
+    sparse = by(entity_components_sparse(
+        world["bronze"], holed, world["standard"], STUDY), "entity", "period")
+    grid = dense_grid(holed, STUDY.years, world["events"])
+    dense = by(entity_components(grid, world["standard"], STUDY), "entity", "period")
+    pd.testing.assert_frame_equal(sparse[columns], dense[columns], check_dtype=False)
+
+
 def test_sparse_components_match_grid_and_brute_force(world):
     columns = ["cases", "severe", "deaths", "std_rate", "severe_frac", "death_frac"]
     sparse = by(entity_components_sparse(
