@@ -21,7 +21,7 @@ from equigauge.sources.nested import (
     crosstab_to_long, flatten_census, read_census, read_coverage, read_crosstab, regroup_bands,
 )
 from equigauge.sources.tables import read_csv, read_locale_csv, read_tree, sql_statements
-from equigauge.streaming.ingest import ingest, stream_files
+from equigauge.streaming.ingest import ingest, ingest_counted, ingest_counts, stream_files
 
 SQL_FILE = Path(__file__).parents[1] / "order_counts.sql"
 
@@ -437,3 +437,21 @@ def stream_cohort(d) -> DataFrame:
         F.count_if("severe").alias("severe"),
         F.sum("death").alias("deaths"),
     )
+
+
+@query(on_layers("""
+SELECT r.year, count(*) AS read, coalesce(max(k.kept), 0) AS kept,
+       coalesce(max(k.undefined), 0) AS band_undefined
+FROM raw r LEFT JOIN (
+  SELECT year, count(*) AS kept, count_if(band IS NULL) AS undefined FROM bronze GROUP BY year) k
+  ON r.year = k.year
+GROUP BY r.year"""))
+def stream_counts(d) -> DataFrame:
+    """Rows read, kept and without a band, counted over all batches of two runs."""
+    names = ("records", "cohort", "marks", "log")
+    source, path, marks, log = (stage_path(d.spark, f"counted-{n}") for n in names)
+    write_partitioned(d.raw, source, ["year"])
+    for _ in range(2):
+        records = stream_files(d.spark, source, d.raw.schema, files_per_batch=4)
+        ingest_counted(records, lambda df: to_bronze(df, d.study), path, marks, log, ["year"])
+    return ingest_counts(d.spark.read.parquet(marks), d.spark.read.parquet(path), ["year"])

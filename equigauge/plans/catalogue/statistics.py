@@ -44,12 +44,27 @@ SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.01), 6) AS p01,
 FROM lineitem GROUP BY 1""")
 def exact_quantiles(d) -> DataFrame:
     """Interpolated quantiles of every order line, one column with few and one with many ties."""
-    lines = d.table("lineitem")
-    price = quantiles(
-        lines, ["l_returnflag"], "l_extendedprice", {"p01": 0.01, "p50": 0.5, "p99": 0.99}
+    measures_of = {"price": "l_extendedprice", "quantity": "l_quantity"}
+    # Both columns under one another, so that the lines are read once.
+    stacked = d.table("lineitem").select(
+        "l_returnflag",
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(name).alias("measure"), F.col(c).alias("value"))
+                    for name, c in measures_of.items()
+                ]
+            )
+        ),
+    )
+    shares = {"p01": 0.01, "p50": 0.5, "p99": 0.99, "quantity_q1": 0.25}
+    found = quantiles(stacked, ["l_returnflag", "measure"], "value", shares)
+    of = lambda measure, name: F.max(F.when(F.col("measure") == measure, F.col(name))).alias(name)
+    return rounded(
+        found.groupBy("l_returnflag").agg(
+            of("price", "p01"), of("price", "p50"), of("price", "p99"), of("quantity", "quantity_q1")
+        )
     )
-    quantity = quantiles(lines, ["l_returnflag"], "l_quantity", {"quantity_q1": 0.25})
-    return rounded(price.join(quantity, "l_returnflag"))
 
 
 @query("""

@@ -64,6 +64,33 @@ def ingest(
     return query
 
 
+def ingest_counted(
+    source: DataFrame,
+    transform: Callable[[DataFrame], DataFrame],
+    path: str,
+    marks: str,
+    checkpoint: str,
+    keys: Sequence[str],
+    files_apart: Sequence[str] = (),
+) -> None:
+    """`ingest`, and beside it a table of narrow marks, the keys of every row that was read.
+
+    Both sinks take the same files once, so `ingest_counts` is right for any number of batches
+    and runs, which the progress that Spark keeps is not.
+    """
+    ingest(source, transform, path, f"{checkpoint}/rows", files_apart)
+    ingest(source, lambda df: df.select(*keys), marks, f"{checkpoint}/marks")
+
+
+def ingest_counts(marks: DataFrame, kept: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows read, rows kept, and rows kept without a band, by keys."""
+    read = marks.groupBy(*keys).agg(F.count("*").alias("read"))
+    out = kept.groupBy(*keys).agg(
+        F.count("*").alias("kept"), F.count_if(F.col("band").isNull()).alias("band_undefined")
+    )
+    return read.join(out, list(keys), "left").fillna(0, subset=["kept", "band_undefined"])
+
+
 def progress_counts(query: StreamingQuery) -> dict[str, int]:
     """Observed counts added up over the batches of a run.
 
