@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equigauge.llm import bpe, dedup, mixing, pii, quality
-from equigauge.llm.common import read_table, staged
+from equigauge.llm.common import prepare, read_table, staged
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -23,20 +23,20 @@ TOKENIZER = "byte_bpe_50k.json"
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold."""
     labelled = quality.training_rows(docs, read_table(spark, sf_dir, "labels"))
-    scored = docs.withColumn("_row_score", quality.score_of(quality.fit(labelled), spark)(
-        F.coalesce("text", F.lit(""))
-    ))
+    scored = quality.with_score(docs, labelled, "_row_score")
     return scored.filter(F.col("_row_score") >= quality.THRESHOLD).drop("_row_score")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near-duplicates."""
+    prepare(spark)
     gone = dedup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pseudonym_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced by pseudonyms."""
+    prepare(spark)
     new = pii.pseudonymise(docs)
     if "n_chars" not in docs.columns:
         return new
@@ -46,11 +46,13 @@ def pseudonym_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources by their weights, repetitions as rows."""
+    prepare(spark)
     return mixing.mixed_documents(docs)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, counted and digested, with the digest of what they decode to."""
+    prepare(spark)
     import public_tokenizers
 
     return bpe.digests(docs, public_tokenizers.path(TOKENIZER))

@@ -16,8 +16,23 @@ BLANK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Batches between Spark and Python. A task holds a few at a time, and texts may be very long.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """The session, with the batch sizes that the operators' memory is reckoned for."""
+    for name, value in BATCHES.items():
+        spark.conf.set(name, value)
+    return spark
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A given table, read with a prepared session."""
+    return prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def word_count(text: Column) -> Column:
@@ -49,3 +64,5 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterat
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    # A worker lives on after its task; what it holds for batches should not.
+    pa.default_memory_pool().release_unused()

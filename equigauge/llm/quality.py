@@ -27,10 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from equigauge.llm.common import drawn, read_table
+from equigauge.llm.common import drawn, read_table, small_batches
 
 FEATURES = 2_048
 RANK = 48
@@ -58,7 +60,7 @@ def _slots_of(word: str) -> tuple[int, int]:
             half + zlib.crc32(shape.encode()) % (half - 64),
         )
         if len(word) <= 24:
-            if len(_slots) >= 300_000:
+            if len(_slots) >= 200_000:
                 _slots.clear()
             _slots[word] = found
     return found
@@ -105,7 +107,7 @@ class Model:
     """Projection, latent vectors of the sample and their labels."""
 
     def __init__(self, rows: np.ndarray, labels: np.ndarray, rank: int = RANK):
-        self.labels = labels.astype(np.float32)
+        self.labels = labels.astype(np.float64)
         if not len(rows):
             self.basis = self.vectors = None
             return
@@ -116,7 +118,7 @@ class Model:
             basis, _r = np.linalg.qr(rows.T @ (rows @ basis))
         small = rows @ basis
         _u, _s, turn = np.linalg.svd(small, full_matrices=False)
-        self.basis = np.ascontiguousarray((basis @ turn.T)[:, :rank])
+        self.basis = np.ascontiguousarray((basis @ turn.T)[:, :rank], np.float64)
         self.vectors = self._unit(rows @ self.basis)
 
     @staticmethod
@@ -131,8 +133,9 @@ class Model:
         near = np.argsort(-cosines, axis=1, kind="stable")[:, :k] if k == len(self.labels) else (
             np.argpartition(-cosines, k - 1, axis=1)[:, :k]
         )
-        weights = np.maximum(np.take_along_axis(cosines, near, axis=1), 1e-3).astype(np.float64) ** SHARPNESS
-        return (weights * self.labels[near]).sum(axis=1) / weights.sum(axis=1)
+        weights = np.maximum(np.take_along_axis(cosines, near, axis=1), 1e-3) ** SHARPNESS
+        # Nine digits, so that equal texts get equal scores wherever they stand in a block.
+        return np.round((weights * self.labels[near]).sum(axis=1) / weights.sum(axis=1), 9)
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -153,21 +156,6 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     return Model(dense, np.array([r["label"] for r in rows]))
 
 
-def score_of(model: Model, spark) -> Column:
-    """A function of a text column: its score."""
-    sent = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        parts = [
-            sent.value.score(_dense([features(t) for t in texts.iloc[i : i + BLOCK]]))
-            for i in range(0, len(texts), BLOCK)
-        ]
-        return pd.Series(np.concatenate(parts) if parts else np.empty(0), index=texts.index)
-
-    return score
-
-
 def held_out(doc_id: Column) -> Column:
     """Rows that no model learns from; those without an id are among them."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
@@ -187,8 +175,19 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def with_score(docs: DataFrame, labelled: DataFrame, name: str = "score") -> DataFrame:
     """``docs`` and the score of their texts, by a model of ``labelled`` (doc_id, text, label)."""
-    score = score_of(fit(labelled), docs.sparkSession)
-    return docs.withColumn(name, score(F.coalesce("text", F.lit(""))))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(labelled))
+    rows = docs.drop(name)
+    at = rows.columns.index("text")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in small_batches(batches, BLOCK):
+            texts = batch.column(at).to_pylist()
+            found = model.score(_dense([features(t) for t in texts])) if texts else []
+            yield batch.append_column(name, pa.array(found, pa.float64()))
+        _slots.clear()
+
+    return rows.mapInArrow(score, StructType([*rows.schema.fields, StructField(name, DoubleType())]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
