@@ -23,6 +23,7 @@ from equigauge.sources.nested import (
 from equigauge.sources.tables import read_csv, read_locale_csv, read_tree, sql_statements
 from equigauge.streaming.ingest import ingest, ingest_counted, ingest_counts, stream_files
 
+RECORD_COLUMNS = {"CODE": "text", "STATUS": "text", "PRICE": "number"}
 SQL_FILE = Path(__file__).parents[1] / "order_counts.sql"
 
 
@@ -114,7 +115,7 @@ def _low_bytes(value: Column, size: int) -> Column:
     )
 
 
-def _record_files(d) -> DataFrame:
+def record_files(d) -> DataFrame:
     """Orders as fixed-width files of 500 keys each; every seventh file is cut off."""
     header_length = 32 + 32 * len(_RECORD_FIELDS) + 1
     record_length = 1 + sum(size for _, _, size in _RECORD_FIELDS)
@@ -157,9 +158,7 @@ FROM orders WHERE o_orderkey % 10 <> 0 AND floor(o_orderkey / {_FILE_KEYS}) % 7
 GROUP BY 1, 2""")
 def fixed_width_records(d) -> DataFrame:
     """Records of many fixed-width files; deleted ones and broken files are left out."""
-    records = decode_files(
-        _record_files(d), {"CODE": "text", "STATUS": "text", "PRICE": "number"}
-    )
+    records = decode_files(record_files(d), RECORD_COLUMNS)
     return records.groupBy(F.col("CODE").alias("code"), F.col("STATUS").alias("status")).agg(
         F.count("*").alias("records"), F.round(F.sum("PRICE"), 2).alias("total")
     )
@@ -171,7 +170,7 @@ SELECT 'truncated header' AS category, count(*) AS files, count(*) >= 60 AS abor
 FROM f WHERE file % 7 = 6 HAVING count(*) > 0""")
 def rejected_files(d) -> DataFrame:
     """Broken files by category, and the verdict of the gate."""
-    return reject_summary(file_headers(_record_files(d)), limit=60)
+    return reject_summary(file_headers(record_files(d)), limit=60)
 
 
 @query(f"""
@@ -182,7 +181,7 @@ SELECT expected, processed, expected - processed AS missing,
        (expected - processed) <= expected * 0.02 AS passed FROM n""")
 def file_completeness(d) -> DataFrame:
     """Expected files against readable ones."""
-    headers = file_headers(_record_files(d)).select("path", "status")
+    headers = file_headers(record_files(d)).select("path", "status")
     return rounded(
         completeness_of(headers, headers.filter("status = 'ok'"), ["path"])
     )
@@ -192,7 +191,7 @@ def file_completeness(d) -> DataFrame:
 SELECT DISTINCT 'file-' || CAST(CAST(floor(o_orderkey / {_FILE_KEYS}) AS BIGINT) AS VARCHAR) AS path
 FROM orders WHERE CAST(floor(o_orderkey / {_FILE_KEYS}) AS BIGINT) % 7 = 6""")
 def missing_files(d) -> DataFrame:
-    headers = file_headers(_record_files(d)).select("path", "status")
+    headers = file_headers(record_files(d)).select("path", "status")
     return missing_inputs(headers.select("path"), headers.filter("status = 'ok'"), ["path"])
 
 

@@ -40,7 +40,14 @@ def _typed(number: Column, kind: str) -> Column:
 def read_locale_csv(
     spark: SparkSession, path: str, columns: list[str], numbers: Mapping[str, str]
 ) -> DataFrame:
-    """A ``;`` separated file with decimal commas and a byte-order mark."""
+    """A ``;`` separated file with decimal commas and a byte-order mark.
+
+    The columns are read by position, so the header must name the wanted ones in their order.
+    """
+    first = spark.read.text(path).head(1)
+    found = [n.strip('"') for n in first[0][0].lstrip("\ufeff").split(";")] if first else columns
+    if found != list(columns):
+        raise ValueError(f"columns {found} where {list(columns)} are wanted")
     schema = ", ".join(f"`{c}` string" for c in columns)
     raw = (
         spark.read.schema(schema)

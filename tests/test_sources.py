@@ -113,6 +113,14 @@ def test_locale_csv_round_trip(spark, tmp_path):
         ("01", 1.5, 12345678.9), ("02", None, -3.0), ("çã", 0.0001, 96.0)]
 
 
+def test_locale_csv_with_other_columns_is_refused(spark, tmp_path):
+    path = str(tmp_path / "csv")
+    write_locale_csv(spark.createDataFrame([("a", 1.5)], "code string, x double"), path)
+    assert read_locale_csv(spark, path, ["code", "x"], {"x": "double"}).first()["x"] == 1.5
+    with pytest.raises(ValueError, match="are wanted"):
+        read_locale_csv(spark, path, ["x", "code"], {"x": "double"})
+
+
 def test_decimal_comma_never_uses_exponents(column_of):
     got = column_of([1e7, 1.25e9, 0.0005, -2e8, None], "double", lambda c: decimal_comma(F.col(c)))
     assert got == ["10000000,0", "1250000000,0", "0,0005", "-200000000,0", None]
