@@ -1,7 +1,8 @@
 """Fixed-width record tables (a binary header, field descriptors, then records).
 
-Each file is one row of a ``binaryFile`` read. The header is read with expressions, the records are
-cut out once per file, and from there on every record is its own small row.
+Each file is one row of a ``binaryFile`` read. The header is read with expressions, chunks of records
+are cut out of the file and records out of chunks, and from there on every record is its own small
+row.
 """
 
 from __future__ import annotations
@@ -22,7 +23,11 @@ END_OF_FIELDS = "0D"
 DELETED = "2A"
 CHARSET = "ISO-8859-1"
 
+NUMERIC_TYPES = ("N", "F")
+
 TEXT, NUMBER = "text", "number"
+#: Records that are cut out of a file at once.
+CHUNK = 10_000
 
 
 def _bytes(content: Column, at, size) -> Column:
@@ -123,27 +128,53 @@ def file_headers(files: DataFrame) -> DataFrame:
     )
 
 
-def decode_files(files: DataFrame, columns: Mapping[str, str]) -> DataFrame:
-    """Records of all files with the wanted columns, as text or numbers.
+def header_columns(files: DataFrame) -> dict[str, str]:
+    """All fields of all headers, in the order of their places, with the type they are declared as.
+
+    A field that is numeric (types N and F) in every file is a number; all others are text.
+    """
+    named = file_headers(files).filter("status = 'ok'").select(F.explode("fields").alias("field"))
+    found = named.groupBy("field.name").agg(
+        F.bool_and(F.col("field.type").isin(*NUMERIC_TYPES)).alias("number"),
+        F.min("field.at").alias("at"),
+    )
+    return {
+        r["name"]: NUMBER if r["number"] else TEXT for r in found.orderBy("at", "name").collect()
+    }
+
+
+def decode_files(files: DataFrame, columns: Mapping[str, str] | None = None) -> DataFrame:
+    """Records of all files with the wanted columns, as text or numbers; without any, all columns.
 
-    Deleted records are dropped. A column a file does not have is null. Fields declared numeric
-    (types N and F) hold numbers in the file; ``columns`` says which type the result has.
+    Deleted records are dropped. A column a file does not have is null. ``columns`` says which type
+    the result has, or else the headers do. Files are cut into chunks of ``CHUNK`` records first,
+    each a row of its own, and chunks into records.
     """
+    columns = header_columns(files) if columns is None else columns
     wanted = list(columns)
     heads = file_headers(files).filter("status = 'ok' AND records > 0")
-    cut = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("records") - 1),
+    size = F.col("record_length").cast("int")
+    chunk = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("records") - 1, F.lit(CHUNK).cast("long")),
         lambda i: _bytes(
             F.col("content"),
             (F.col("header_length") + i * F.col("record_length") + 1).cast("int"),
-            F.col("record_length").cast("int"),
+            (F.least(F.lit(CHUNK), F.col("records") - i) * F.col("record_length")).cast("int"),
         ),
     )
     # Resolve the wanted fields per file, so rows carry two numbers per column, not the header.
-    per_file = heads.select(
+    chunks = heads.select(
         "path",
+        "record_length",
         *[_field_named(name).alias(f"_{name}") for name in wanted],
-        F.explode(cut).alias("_record"),
+        F.explode(chunk).alias("_chunk"),
+    )
+    cut = F.transform(
+        F.sequence(F.lit(1), F.octet_length("_chunk") - size + 1, size),
+        lambda at: _bytes(F.col("_chunk"), at, size),
+    )
+    per_file = chunks.select(
+        "path", *[f"_{name}" for name in wanted], F.explode(cut).alias("_record")
     ).filter(F.hex(_bytes(F.col("_record"), 1, 1)) != DELETED)
     return per_file.select(
         "path", *[_value(name, kind).alias(name) for name, kind in columns.items()]
@@ -163,6 +194,8 @@ def _value(name: str, kind: str) -> Column:
     return lenient_double(text) if kind == NUMBER else strip(text)
 
 
-def read_fixed_width(spark: SparkSession, path: str, columns: Mapping[str, str]) -> DataFrame:
+def read_fixed_width(
+    spark: SparkSession, path: str, columns: Mapping[str, str] | None = None
+) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return decode_files(files, columns)

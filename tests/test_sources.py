@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from equigauge.sinks.files import (
     decimal_comma, write_csv, write_locale_csv, write_parquet, write_partitioned,
 )
+from equigauge.sources import fixed_width
 from equigauge.sources.fixed_width import decode_files, file_headers, read_fixed_width
 from equigauge.sources.nested import (
     add_areas,
@@ -48,6 +49,17 @@ def test_fixed_width_files(spark, tmp_path):
     assert {r["ABSENT"] for r in few.collect()} == {None}
 
 
+def test_fixed_width_all_columns_in_chunks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fixed_width, "CHUNK", 2)
+    (tmp_path / "a.dbf").write_bytes(table_bytes(RECORDS * 3))
+    got = read_fixed_width(spark, str(tmp_path))
+    assert got.columns == ["path", *[f[0].decode() for f in FIELDS]]
+    assert {f.name for f in got.schema if f.dataType.typeName() == "double"} == {
+        f[0].decode() for f in FIELDS if f[1] == b"N"}
+    assert got.count() == 9
+    assert got.select(*WANTED).exceptAll(read_fixed_width(spark, str(tmp_path), WANTED).select(*WANTED)).count() == 0
+
+
 def test_broken_files_are_marked(spark):
     files = spark.createDataFrame(
         [("short", b"abc"), ("null", None), ("ok", table_bytes(RECORDS)), ("zero", b"\0" * 40)],
