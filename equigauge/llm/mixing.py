@@ -193,9 +193,11 @@ def mixed_documents(docs: DataFrame, seed: str = SEED, **limits) -> DataFrame:
         "taken", taken(F.col("size"), F.col("key")).cast("long")
     )
     words = F.expr("if(copy * size <= taken, size, taken - (copy - 1) * size)")
-    prefix = F.expr(
-        r"regexp_extract(row.text, concat('^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){', words, '}'), 0)"
+    # Words with the white space before them; a counted repeat in the pattern would recurse.
+    parts = F.regexp_extract_all(
+        F.col("row.text"), F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), 0
     )
+    prefix = F.array_join(F.slice(parts, F.lit(1), F.col("words").cast("int")), "")
     text = F.when(F.col("words") < F.col("size"), prefix).otherwise(F.col("row.text"))
     # A text without words has no size to fill; it is kept once.
     copies = F.expr(

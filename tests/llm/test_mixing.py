@@ -67,3 +67,10 @@ def test_empty_and_single(documents, prose):
     assert mix(documents([])).count() == 0 and mixed_documents(documents([])).count() == 0
     (row,) = mix(documents([(1, prose(10), "a")])).collect()
     assert (row["size"], row["source_size"], row["target"], row["taken"]) == (10, 10, 15.0, 15)
+
+
+def test_a_long_text_is_cut_at_a_word(documents, prose):
+    text = prose(60_000)
+    mixed = [r["text"] for r in mixed_documents(documents([(1, "\n" + text + " ", "a")])).collect()]
+    assert sorted(map(len, (m.split() for m in mixed))) == [30_000, 60_000]
+    assert ("\n" + text).startswith(min(mixed, key=len))
