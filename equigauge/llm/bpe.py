@@ -39,7 +39,7 @@ from equigauge.llm import vocab
 from equigauge.llm.common import read_table, small_batches, staged
 
 SAMPLE_DOCS = 32_768
-HOT_WORDS = 262_144
+HOT_WORDS = 327_680
 HOT_CHARS = 32
 #: Words that a task counts, or texts that it remembers, before it starts anew.
 TASK_MEMORY = 200_000
