@@ -144,7 +144,7 @@ class LowerCaseCoder:
     Codes of words are remembered up to ``limit`` words; then the memory starts anew.
     """
 
-    def __init__(self, source: str, kind: str = "H", limit: int = 500_000):
+    def __init__(self, source: str, kind: str = "H", limit: int = 900_000):
         self.source, self.kind, self.limit = source, kind, limit
         self.codes: dict[str, bytes] = {}
 
@@ -157,14 +157,14 @@ class LowerCaseCoder:
         words = BARE_WORDS.findall(text.lower())
         codes = self.codes
         try:
-            return b"".join([codes[w] for w in words])
+            return b"".join(map(codes.__getitem__, words))
         except KeyError:
             new = list({w for w in words if w not in codes})
         if len(codes) + len(new) > self.limit:
             codes.clear()
             new = list(set(words))
         codes.update(zip(new, bare_word_codes(self.source, new, self.kind), strict=True))
-        return b"".join([codes[w] for w in words])
+        return b"".join(map(codes.__getitem__, words))
 
 
 _coders: dict[tuple[str, str], LowerCaseCoder] = {}
