@@ -3,9 +3,9 @@
 Built-in functions only. Words are hashed; of every run of ``K`` words (a k-mer) the hash of the
 smallest word (the inner substring) decides: the k-mer is an anchor if the smallest stands at its
 first or last place. That depends on nothing outside the k-mer, so an edit moves no anchor that it
-doesn't touch. The fingerprint is the ``KEEP`` smallest anchor hashes in hexadecimal, a bottom-k
-sketch of the set of anchors, and the likeness of two fingerprints estimates how much the two sets
-share: of the smallest hashes of both together, the share that is in both.
+doesn't touch. The fingerprint is the hashes of all distinct anchors in hexadecimal, ascending, and the
+likeness of two texts is the share of all their anchors that is in both. Places of anchors
+(``anchors``) are no part of either.
 
 A text with words but no anchor has one, the hash of all its words. Equal texts have equal
 fingerprints; two texts without words are alike (1), one without and one with words are not (0).
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from equigauge.llm.common import BLANK, read_table
 
 K = 4
-KEEP = 64
 DOCS_PER_RANGE = 4_096
 MAX_RANGES = 8_192
 
@@ -66,7 +65,7 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 def with_sketch(rows: DataFrame, text: str, name: str) -> DataFrame:
-    """``rows`` and the sketch of ``text``: its smallest anchor hashes, ascending."""
+    """``rows`` and the sketch of ``text``: its distinct anchor hashes, ascending."""
     step = rows.withColumn("_h", word_hashes(F.coalesce(F.col(text), F.lit(""))))
     step = step.withColumn("_p", syncmer_places(F.col("_h")))
     step = step.withColumn(
@@ -75,8 +74,7 @@ def with_sketch(rows: DataFrame, text: str, name: str) -> DataFrame:
         .when(F.size("_h") > 0, F.array(F.xxhash64(F.col("_h"))))
         .otherwise(F.array().cast("array<long>")),
     )
-    smallest = F.slice(F.sort_array(F.array_distinct("_a")), 1, KEEP)
-    return step.withColumn(name, smallest).drop("_h", "_p", "_a")
+    return step.withColumn(name, F.sort_array(F.array_distinct("_a"))).drop("_h", "_p", "_a")
 
 
 def fingerprint(sketch: Column) -> Column:
@@ -84,9 +82,9 @@ def fingerprint(sketch: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    together = F.slice(F.sort_array(F.array_union(a, b)), 1, KEEP)
-    shared = F.size(F.array_intersect(together, F.array_intersect(a, b)))
-    return F.when(F.size(together) == 0, F.lit(1.0)).otherwise(shared / F.size(together))
+    shared = F.size(F.array_intersect(a, b))
+    together = F.size(a) + F.size(b) - shared
+    return F.when(together == 0, F.lit(1.0)).otherwise(shared / together)
 
 
 def range_number(doc_id: Column, bounds: list[int]) -> Column:

@@ -64,3 +64,13 @@ def test_ranges_by_halving(spark):
     df = spark.createDataFrame([(i,) for i in ids], "i long")
     got = [r[0] for r in df.select(range_number(F.col("i"), bounds)).collect()]
     assert got == [0 if i is None else sum(b < i for b in bounds) for i in ids]
+
+
+def test_long_texts_share_what_they_share(documents, prose):
+    shared = prose(20, 5)
+    texts = [prose(900, 1) + " " + shared, shared + " " + prose(900, 2)]
+    got = edited_pairs(documents([(i, t, "s") for i, t in enumerate(texts)])).orderBy("doc_id").collect()
+    sets = [{r["anchor"] for r in anchors(documents([(1, t, "s")])).collect()} for t in texts]
+    assert [len(r["fingerprint"]) for r in got] == [16 * len(x) for x in sets]
+    want = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+    assert want > 0 and [r["near_next"] for r in got] == [pytest.approx(want)] * 2
