@@ -7,7 +7,12 @@ doesn't touch. The fingerprint is the hashes of all distinct anchors in hexadeci
 likeness of two texts is the share of all their anchors that is in both. Places of anchors
 (``anchors``) are no part of either.
 
-A text with words but no anchor has one, the hash of all its words. Equal texts have equal
+Inside words of more than ``LONG_WORD`` characters there are anchors of characters as well: runs of
+``K`` overlapping pairs of characters. Texts of at most ``SHORT`` characters have such anchors
+throughout, their words joined by one space, and two such texts are compared by these alone; any
+other two texts by the anchors of words and inside long words.
+
+A text with words but no anchor of a kind has one, the hash of all its words. Equal texts have equal
 fingerprints; two texts without words are alike (1), one without and one with words are not (0).
 
 Edited texts need the next document in order of doc_id. Documents are dealt to ranges of doc_id of
@@ -27,6 +32,7 @@ from pyspark.sql import functions as F
 from equigauge.llm.common import BLANK, read_table
 
 K = 4
+SHORT, LONG_WORD = 256, 32
 DOCS_PER_RANGE = 4_096
 MAX_RANGES = 8_192
 
@@ -64,27 +70,66 @@ def anchors(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.explode("a").alias("a")).select("doc_id", "a.place", "a.anchor")
 
 
+def character_anchors(text: Column) -> Column:
+    """Anchors of the characters of a text: closed syncmers over its overlapping pairs."""
+    # A lambda variable of an array of one holds the pairs, so that they are made once.
+    def of_pairs(pairs: Column) -> Column:
+        return anchor_hashes(pairs, syncmer_places(pairs))
+
+    def of_letters(letters: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(letters)), lambda i: i < F.size(letters) - 1)
+        pairs = F.transform(places, lambda i: F.xxhash64(F.get(letters, i), F.get(letters, i + 1)))
+        return F.flatten(F.transform(F.array(pairs), of_pairs))
+
+    letters = F.filter(F.split(text, "", -1), lambda c: c != "")
+    return F.flatten(F.transform(F.array(letters), of_letters))
+
+
 def with_sketch(rows: DataFrame, text: str, name: str) -> DataFrame:
-    """``rows`` and the sketch of ``text``: its distinct anchor hashes, ascending."""
-    step = rows.withColumn("_h", word_hashes(F.coalesce(F.col(text), F.lit(""))))
+    """``rows`` and the sketch of ``text``: distinct anchor hashes, ascending, of words (with those
+    inside long words) and, if the text is short, of characters."""
+    step = rows.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    step = step.withColumn("_w", F.filter(F.split("_t", BLANK, -1), lambda w: w != ""))
+    step = step.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
     step = step.withColumn("_p", syncmer_places(F.col("_h")))
+    long_words = F.filter("_w", lambda w: F.length(w) > LONG_WORD)
     step = step.withColumn(
         "_a",
-        F.when(F.size("_p") > 0, anchor_hashes(F.col("_h"), F.col("_p")))
-        .when(F.size("_h") > 0, F.array(F.xxhash64(F.col("_h"))))
-        .otherwise(F.array().cast("array<long>")),
+        F.concat(
+            F.when(F.size("_p") > 0, anchor_hashes(F.col("_h"), F.col("_p"))).otherwise(F.array().cast("array<long>")),
+            F.flatten(F.transform(long_words, character_anchors)),
+        ),
     )
-    return step.withColumn(name, F.sort_array(F.array_distinct("_a"))).drop("_h", "_p", "_a")
+    short = F.length("_t") <= SHORT
+    step = step.withColumn(
+        "_c", F.when(short, character_anchors(F.array_join("_w", " "))).otherwise(F.array().cast("array<long>"))
+    )
+    whole = F.when(F.size("_h") > 0, F.array(F.xxhash64(F.col("_h")))).otherwise(F.array().cast("array<long>"))
+
+    def distinct(found: str) -> Column:
+        return F.sort_array(F.array_distinct(F.when(F.size(found) > 0, F.col(found)).otherwise(whole)))
+
+    sketch = F.struct(
+        short.alias("short"),
+        distinct("_a").alias("words"),
+        F.when(short, distinct("_c")).otherwise(F.col("_c")).alias("letters"),
+    )
+    return step.withColumn(name, sketch).drop("_t", "_w", "_h", "_p", "_a", "_c")
 
 
 def fingerprint(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+    """Anchors that a text is told by: of characters if it is short, else of words."""
+    told = F.when(sketch["short"], sketch["letters"]).otherwise(sketch["words"])
+    return F.array_join(F.transform(told, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    together = F.size(a) + F.size(b) - shared
-    return F.when(together == 0, F.lit(1.0)).otherwise(shared / together)
+    def shares(x: Column, y: Column) -> Column:
+        shared = F.size(F.array_intersect(x, y))
+        together = F.size(x) + F.size(y) - shared
+        return F.when(together == 0, F.lit(1.0)).otherwise(shared / together)
+
+    return F.when(a["short"] & b["short"], shares(a["letters"], b["letters"])).otherwise(shares(a["words"], b["words"]))
 
 
 def range_number(doc_id: Column, bounds: list[int]) -> Column:

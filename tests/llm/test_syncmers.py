@@ -74,3 +74,11 @@ def test_long_texts_share_what_they_share(documents, prose):
     assert [len(r["fingerprint"]) for r in got] == [16 * len(x) for x in sets]
     want = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
     assert want > 0 and [r["near_next"] for r in got] == [pytest.approx(want)] * 2
+
+
+def test_short_texts_and_texts_without_spaces(documents, words):
+    rng = __import__("random").Random(4)
+    unbroken = "".join(rng.choice("etaoinshrdlu") for _ in range(3000))
+    texts = ["considerable differences remained", unbroken, "two measurements everywhere", "unquestionable"]
+    got = edited_pairs(documents([(i, t, "s") for i, t in enumerate(texts)])).collect()
+    assert all(0.3 < r["near_edited"] < 1 for r in got) and all(r["near_next"] < 0.2 for r in got)
