@@ -43,6 +43,7 @@ def read_locale_csv(
     """A ``;`` separated file with decimal commas and a byte-order mark.
 
     The columns are read by position, so the header must name the wanted ones in their order.
+    One file's header is checked here, that of every other file when it is read.
     """
     first = spark.read.text(path).head(1)
     found = [n.strip('"') for n in first[0][0].lstrip("\ufeff").split(";")] if first else columns
@@ -53,6 +54,7 @@ def read_locale_csv(
         spark.read.schema(schema)
         .option("sep", ";")
         .option("header", "true")
+        .option("enforceSchema", "false")
         .option("nullValue", "")
         .csv(path)
     )

@@ -191,3 +191,16 @@ def test_sql_file(tmp_path):
     file = tmp_path / "q.sql"
     file.write_text("SELECT 1;\n\nSELECT 2;\n")
     assert sql_statements(file) == ["SELECT 1", "SELECT 2"]
+
+
+def test_locale_csv_refuses_a_later_file_with_another_order(spark, tmp_path):
+    from equigauge.sources.tables import read_locale_csv
+
+    (tmp_path / "a.csv").write_text("﻿name;rate\nx;1,5\nx;1,5\nx;1,5\n", encoding="utf-8")
+    assert read_locale_csv(spark, str(tmp_path), ["name", "rate"], {"rate": "double"}).collect() == [("x", 1.5)] * 3
+    (tmp_path / "b.csv").write_text("﻿rate;name\n2,5;y\n", encoding="utf-8")
+    try:
+        read_locale_csv(spark, str(tmp_path), ["name", "rate"], {"rate": "double"}).collect()
+    except Exception:
+        return
+    raise AssertionError("another order of columns was read")
