@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from equigauge.llm import bpe, chat, dedup, mixing, neighbours, pii, quality, syncmers, tokens, urls
+from equigauge.llm import bpe, chat, dedup, mixing, neighbours, pii, quality, repair, syncmers, tokens, urls
 
 QUERIES = {
     "op1_quality_votes": quality.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_source_mix": mixing.query,
     "op9_token_planes": tokens.query,
     "op10_syncmers": syncmers.query,
+    "op11_suffix_dawg": repair.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -23,4 +24,5 @@ ORACLES = {
     "op2_url_filter": urls.SQL,
     "op6_chat_format": chat.SQL,
     "op8_source_mix": mixing.SQL,
+    "op11_suffix_dawg": repair.SQL,
 }
