@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from equigauge.llm import bpe, chat, dedup, mixing, neighbours, pii, quality, repair, syncmers, tokens, urls
+from equigauge.llm import bpe, chat, dedup, mixing, neighbours, pii, quality, repair, search, syncmers, tokens, urls
 
 QUERIES = {
     "op1_quality_votes": quality.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_token_planes": tokens.query,
     "op10_syncmers": syncmers.query,
     "op11_suffix_dawg": repair.query,
+    "op12_norm_buckets": search.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -25,4 +26,5 @@ ORACLES = {
     "op6_chat_format": chat.SQL,
     "op8_source_mix": mixing.SQL,
     "op11_suffix_dawg": repair.SQL,
+    "op12_norm_buckets": search.SQL,
 }
