@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from equigauge.llm import bpe, chat, dedup, mixing, neighbours, pii, quality, repair, search, syncmers, tokens, urls
+from equigauge.llm import bpe, chat, dedup, mixing, neighbours, pii, quality, repair, search, syncmers, tokens, urls, weak
 
 QUERIES = {
     "op1_quality_votes": quality.query,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_syncmers": syncmers.query,
     "op11_suffix_dawg": repair.query,
     "op12_norm_buckets": search.query,
+    "op13_weak_rules": weak.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -27,4 +28,5 @@ ORACLES = {
     "op8_source_mix": mixing.SQL,
     "op11_suffix_dawg": repair.SQL,
     "op12_norm_buckets": search.SQL,
+    "op13_weak_rules": weak.SQL,
 }
