@@ -6,7 +6,7 @@ from functools import reduce
 from operator import add
 from typing import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from equigauge.config import RANGE_LIMITS, Bands
 from equigauge.functions.numeric import ratio
@@ -34,6 +34,19 @@ def completeness_of(
     )
 
 
+def expected_files(
+    spark: SparkSession, states: Sequence[str], years: Sequence[int], months: Sequence[int] = range(1, 13)
+) -> DataFrame:
+    """state, year and month of every file that there should be, made of literal lists."""
+    each = lambda values, kind: F.explode(F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>"))
+    return (
+        spark.range(1)
+        .select(each(states, "string").alias("state"))
+        .select("state", each(years, "int").alias("year"))
+        .select("state", "year", each(months, "int").alias("month"))
+    )
+
+
 def missing_inputs(expected: DataFrame, processed: DataFrame, keys: Sequence[str]) -> DataFrame:
     return expected.join(processed.select(*keys).distinct(), list(keys), "left_anti")
 

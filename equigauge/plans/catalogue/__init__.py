@@ -1,7 +1,7 @@
 """Every registered query, with the SQL that gives the same rows where SQL can."""
 
 from equigauge.plans.catalogue import (  # noqa: F401
-    checks, indexes, layers, scalars, sources, statistics, tables,
+    checks, indexes, layers, record_files, scalars, sources, statistics, tables,
 )
 from equigauge.plans.catalogue.base import REGISTRY
 

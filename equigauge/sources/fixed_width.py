@@ -7,7 +7,7 @@ row.
 
 from __future__ import annotations
 
-from typing import Mapping
+from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -85,9 +85,12 @@ def _fields(content: Column, header_length: Column) -> Column:
 
 
 def file_headers(files: DataFrame) -> DataFrame:
-    """(path, content) rows with their header, field list and a status; bad files stay, marked."""
+    """(path, content) rows with their header, field list and a status; bad files stay, marked.
+
+    Where there is a ``length``, it is that of the file and the content only its beginning.
+    """
     content = F.col("content")
-    length = F.octet_length(content)
+    length = F.col("length") if "length" in files.columns else F.octet_length(content)
     readable = length >= HEADER_SIZE
     declared = F.when(readable, _little_endian(content, COUNT_AT, COUNT_SIZE))
     header_length = F.when(readable, _little_endian(content, HEADER_LENGTH_AT, LENGTH_SIZE))
@@ -151,9 +154,7 @@ def decode_files(files: DataFrame, columns: Mapping[str, str] | None = None) ->
     each a row of its own, and chunks into records.
     """
     columns = header_columns(files) if columns is None else columns
-    wanted = list(columns)
     heads = file_headers(files).filter("status = 'ok' AND records > 0")
-    size = F.col("record_length").cast("int")
     chunk = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("records") - 1, F.lit(CHUNK).cast("long")),
         lambda i: _bytes(
@@ -162,23 +163,33 @@ def decode_files(files: DataFrame, columns: Mapping[str, str] | None = None) ->
             (F.least(F.lit(CHUNK), F.col("records") - i) * F.col("record_length")).cast("int"),
         ),
     )
-    # Resolve the wanted fields per file, so rows carry two numbers per column, not the header.
     chunks = heads.select(
-        "path",
-        "record_length",
-        *[_field_named(name).alias(f"_{name}") for name in wanted],
-        F.explode(chunk).alias("_chunk"),
+        "path", "record_length", *wanted_fields(columns), F.explode(chunk).alias("_chunk")
     )
+    return decode_chunks(chunks, columns, ["path"])
+
+
+def wanted_fields(columns: Mapping[str, str]) -> list[Column]:
+    """The wanted fields of a header, so that rows carry two numbers per column, not the header."""
+    return [_field_named(name).alias(f"_{name}") for name in columns]
+
+
+def decode_chunks(
+    chunks: DataFrame, columns: Mapping[str, str], keep: Sequence[str] = ()
+) -> DataFrame:
+    """Rows of records from runs of whole records (``_chunk``); deleted records are dropped.
+
+    Values are projections of a record's bytes, so a column that nobody selects is never decoded.
+    """
+    size = F.col("record_length").cast("int")
     cut = F.transform(
         F.sequence(F.lit(1), F.octet_length("_chunk") - size + 1, size),
         lambda at: _bytes(F.col("_chunk"), at, size),
     )
-    per_file = chunks.select(
-        "path", *[f"_{name}" for name in wanted], F.explode(cut).alias("_record")
+    records = chunks.select(
+        *keep, *[f"_{name}" for name in columns], F.explode(cut).alias("_record")
     ).filter(F.hex(_bytes(F.col("_record"), 1, 1)) != DELETED)
-    return per_file.select(
-        "path", *[_value(name, kind).alias(name) for name, kind in columns.items()]
-    )
+    return records.select(*keep, *[_value(name, kind).alias(name) for name, kind in columns.items()])
 
 
 def _field_named(name: str) -> Column:
