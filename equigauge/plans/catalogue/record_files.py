@@ -7,11 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 from equigauge.functions.text import file_name_parts
 from equigauge.operators.cohort import to_bronze
 from equigauge.operators.validate import completeness_of, expected_files, missing_inputs
+from equigauge.operators.rollup import SILVER_KEYS, roll_up
 from equigauge.plans.catalogue.base import on_layers, query, rounded
 from equigauge.session import stage_path
+from equigauge.sinks.cells import CellStore
 from equigauge.sinks.record_files import Field, write_named, write_record_files
 from equigauge.sources.record_files import list_record_files, read_record_files
-from equigauge.streaming.record_ingest import RecordIngest, ingest_new, ingest_stream, ingested
+from equigauge.streaming.record_ingest import (
+    RecordIngest, ingest_new, ingest_stream, ingested, refresh_cells,
+)
 
 # Fields of an admission record: name, type letter, size.
 FIELDS = [
@@ -178,3 +182,33 @@ def record_file_completeness(d) -> DataFrame:
     keys = ["state", "year", "month"]
     expected = _expected(d)
     return rounded(completeness_of(expected, _held(d).join(expected, keys, "left_semi"), keys))
+
+
+@query(on_layers("""
+SELECT code, year, sex, band, cases, CAST(severe AS BIGINT) AS severe,
+       CAST(deaths AS BIGINT) AS deaths, CAST(cost AS DOUBLE) AS cost,
+       CAST(stay_days AS BIGINT) AS stay_days, age_sum, age_known FROM silver"""))
+def incremental_silver(d) -> DataFrame:
+    """Silver from parts of three batches, folded in between; the last batch comes twice."""
+    cells = CellStore(d.spark, stage_path(d.spark, "silver-cells"), roll_up, SILVER_KEYS)
+    batch = lambda i: d.bronze.filter(F.col("month") % 3 == i)
+    cells.add(batch(0), 0)
+    cells.add(batch(1), 1)
+    cells.fold()
+    for _ in range(2):
+        cells.add(batch(2), 2)
+    return rounded(cells.read(), 2, "cost")
+
+
+@query(on_layers("""
+SELECT year, band, CAST(sum(cases) AS BIGINT) AS cases, CAST(sum(severe) AS BIGINT) AS severe
+FROM silver GROUP BY year, band"""))
+def silver_of_ingest(d) -> DataFrame:
+    """Record files ingested in batches, and silver brought up to date after every run."""
+    source, root = write_admissions(d), stage_path(d.spark, "silver-ingest")
+    cells = CellStore(d.spark, stage_path(d.spark, "ingest-cells"), roll_up, SILVER_KEYS)
+    for _ in range(2):
+        ingest_new(d.spark, source, cohort_ingest(d, root), files_per_batch=300)
+        refresh_cells(d.spark, root, cells)
+        cells.fold()
+    return cells.read().groupBy("year", "band").agg(F.sum("cases").alias("cases"), F.sum("severe").alias("severe"))

@@ -63,6 +63,15 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def complete_folders(spark: SparkSession, root: str, key: str) -> list[int]:
+    """Numbers n of the folders ``key=n`` below a root whose write has come to its end."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    below = hadoop.Path(root)
+    system = below.getFileSystem(spark._jsc.hadoopConfiguration())
+    marks = system.globStatus(hadoop.Path(below, f"{key}=*/_SUCCESS")) or []
+    return sorted(int(m.getPath().getParent().getName().removeprefix(f"{key}=")) for m in marks)
+
+
 def release_stages(spark: SparkSession) -> int:
     """Delete the staged tables of this application; call when their readers are done."""
     paths = _staged.pop(spark.sparkContext.applicationId, [])

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from equigauge.functions.text import file_name_parts
-from equigauge.session import delete_folder, staged
+from equigauge.session import complete_folders, delete_folder, staged
+from equigauge.sinks.cells import CellStore
 from equigauge.sources.record_files import (
     FILE_SCHEMA, RANGE_BYTES, list_record_files, listed, read_headers, read_ranges,
 )
@@ -101,7 +102,7 @@ class RecordIngest:
 
     def _gate(self, spark: SparkSession, batch: int) -> None:
         """Rejects are kept even where they stop the ingest: the batch's own are written already."""
-        done = _batches(spark, self.root)
+        done = batches(spark, self.root)
         rejects = spark.read.schema("path string, name string, category string, batch long").parquet(
             f"{self.root}/rejects"
         )
@@ -125,27 +126,31 @@ class RecordIngest:
         return before.get["read"], kept["kept"], kept["band_undefined"]
 
 
-def _batches(spark: SparkSession, root: str) -> list[int]:
+def batches(spark: SparkSession, root: str) -> list[int]:
     """Numbers of the batches that are done."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    done = hadoop.Path(root, "ledger")
-    system = done.getFileSystem(spark._jsc.hadoopConfiguration())
-    marks = system.globStatus(hadoop.Path(done, "batch=*/_SUCCESS")) or []
-    return sorted(int(m.getPath().getParent().getName().removeprefix("batch=")) for m in marks)
+    return complete_folders(spark, f"{root}/ledger", "batch")
 
 
 def ingested(spark: SparkSession, root: str, table: str = "rows") -> DataFrame:
     """A table of the batches that are done, with their number; the others' folders are not read."""
-    paths = [f"{root}/{table}/batch={b}" for b in _batches(spark, root)]
-    held = [p for p in paths if _exists(spark, p)]
+    done = set(batches(spark, root)).intersection(complete_folders(spark, f"{root}/{table}", "batch"))
+    held = [f"{root}/{table}/batch={b}" for b in sorted(done)]
     if not held:
         raise FileNotFoundError(f"no batch of {root} has any {table}")
     return spark.read.option("basePath", f"{root}/{table}").parquet(*held)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def refresh_cells(spark: SparkSession, root: str, cells: CellStore) -> list[int]:
+    """Roll up the batches of an ingest that the cells do not have yet; their numbers.
+
+    Only the rows of those batches are read.
+    """
+    have = cells.batches()
+    kept = set(complete_folders(spark, f"{root}/rows", "batch"))
+    new = [b for b in batches(spark, root) if b in kept and b not in have]
+    for batch in new:
+        cells.add(spark.read.parquet(f"{root}/rows/batch={batch}"), batch)
+    return new
 
 
 def ingest_stream(
@@ -178,7 +183,7 @@ def ingest_new(
     """The same without a stream: files that no batch of the ledger has; the batches it made."""
     made: list[int] = []
     while True:
-        done = _batches(spark, ingest.root)
+        done = batches(spark, ingest.root)
         files = list_record_files(spark, source)
         if done:
             known = ingested(spark, ingest.root, "ledger").select("path")
