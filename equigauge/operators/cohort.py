@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from equigauge.config import Study
@@ -52,8 +54,21 @@ def keep_present(df: DataFrame, names) -> DataFrame:
     return df.select(*[n for n in names if n in df.columns])
 
 
+def with_absent(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Add the named columns that the frame does not have, as null texts."""
+    absent = {n: F.lit(None).cast("string") for n in names if n not in df.columns}
+    return df.withColumns(absent) if absent else df
+
+
 def to_bronze(df: DataFrame, study: Study) -> DataFrame:
-    """Cohort filter, derived age columns, and the layer schema. ``df`` also has year and month."""
+    """Cohort filter, derived age columns, and the layer schema. ``df`` also has year and month.
+
+    A raw column that the records do not have is null, but the cohort can't be told without the
+    diagnosis, so that one is asked for.
+    """
+    if "DIAG_PRINC" not in df.columns:
+        raise ValueError("the records have no DIAG_PRINC, so no cohort can be selected")
+    df = with_absent(df, RAW_COLUMNS)
     parsed = compute_once(
         select_cohort(df, study),
         _age=number_of(df, "IDADE"),

@@ -11,8 +11,11 @@ from equigauge.operators.rollup import SILVER_KEYS, roll_up
 from equigauge.plans.catalogue.base import on_layers, query, rounded
 from equigauge.session import stage_path
 from equigauge.sinks.cells import CellStore
+from equigauge.sinks.files import BYTE_ORDER_MARK, decimal_comma
 from equigauge.sinks.record_files import Field, write_named, write_record_files
+from equigauge.sources.drifting import read_drifting_tree
 from equigauge.sources.record_files import list_record_files, read_record_files
+from equigauge.sources.tables import split_csv, split_locale_csv
 from equigauge.streaming.record_ingest import (
     RecordIngest, ingest_new, ingest_stream, ingested, refresh_cells,
 )
@@ -212,3 +215,85 @@ def silver_of_ingest(d) -> DataFrame:
         refresh_cells(d.spark, root, cells)
         cells.fold()
     return cells.read().groupBy("year", "band").agg(F.sum("cases").alias("cases"), F.sum("severe").alias("severe"))
+
+
+@query(on_layers("""
+SELECT year, count(*) AS cases, count_if(severe AND month > 6) AS severe,
+       CAST(sum(stay_days) AS BIGINT) AS stay_days, max(age_years) AS oldest,
+       round(CAST(sum(CAST(cost AS DECIMAL(18, 2))) AS DOUBLE), 2) AS cost
+FROM bronze GROUP BY year"""))
+def drifting_tree(d) -> DataFrame:
+    """The cohort from a tree whose first half years lack a column and have narrower numbers."""
+    path = stage_path(d.spark, "drifting")
+    types = {"IDADE": ("tinyint", "bigint"), "DIAS_PERM": ("smallint", "int"), "VAL_TOT": ("decimal(12,2)", "decimal(16,4)")}
+    for half, months in enumerate(("month <= 6", "month > 6")):
+        part = d.raw.filter(months).withColumns({n: F.col(n).cast(t[half]) for n, t in types.items()})
+        part = part.drop("PROC_REA") if half == 0 else part
+        part.withColumn("half", F.lit(half)).write.mode("append").partitionBy("half", "year").parquet(path)
+    return to_bronze(read_drifting_tree(d.spark, path), d.study).groupBy("year").agg(
+        F.count("*").alias("cases"),
+        F.count_if("severe").alias("severe"),
+        F.sum("stay_days").cast("long").alias("stay_days"),
+        F.max("age_years").alias("oldest"),
+        F.round(F.sum(F.col("cost").cast("decimal(18,2)")).cast("double"), 2).alias("cost"),
+    )
+
+
+_ODD_ORDERS = """
+SELECT part, category, count(*) AS records, round(sum(o_totalprice), 2) AS total FROM (
+  SELECT o_totalprice, CASE WHEN o_orderkey % 40 IN (0, 1) THEN 'rejects' ELSE 'rows' END AS part,
+         CASE WHEN o_orderkey % 40 IN (0, 1) THEN 'malformed record' ELSE 'good' END AS category,
+         o_orderkey FROM orders WHERE o_orderkey % 40 <> 2
+  UNION ALL
+  SELECT o_totalprice, 'rejects', '{unread}', o_orderkey FROM orders WHERE o_orderkey % 40 = 2)
+GROUP BY part, category"""
+
+
+def _odd_orders(d, sep: str, price, mark: str = "") -> str:
+    """Orders as CSV files; some lines are short, some long, and some have no number for a price."""
+    path = stage_path(d.spark, "odd-csv")
+    key = F.col("o_orderkey")
+    fields = [key.cast("string"), F.col("o_orderstatus"), F.when(key % 40 == 2, F.lit("many")).otherwise(price)]
+    line = (
+        F.when(key % 40 == 0, F.concat_ws(sep, *fields[:2]))
+        .when(key % 40 == 1, F.concat_ws(sep, *fields, F.lit("more")))
+        .otherwise(F.concat_ws(sep, *fields))
+    )
+    file = F.concat(F.lit("orders-"), F.coalesce((key % 7).cast("string"), F.lit("")), F.lit(".csv"))
+    lines = d.table("orders").select(file.alias("file"), F.lit(1).alias("kind"), line.alias("line"))
+    heads = lines.select("file").distinct().select(
+        "file", F.lit(0).alias("kind"), F.lit(mark + sep.join(("key", "status", "price"))).alias("line")
+    )
+    every = heads.unionByName(lines).withColumn("file", F.coalesce("file", F.lit("")))
+    write_named(every, path, "file", "line", "kind")
+    return path
+
+
+def _split_counts(d, good: DataFrame, rejects: DataFrame) -> DataFrame:
+    prices = d.table("orders").select(F.col("o_orderkey").alias("key"), "o_totalprice")
+    keyed = rejects.withColumn("key", F.regexp_extract("record", r"^(\d+)", 1).cast("long")).join(prices, "key")
+    shape = lambda df, part, category, value: df.groupBy(
+        F.lit(part).alias("part"), category.alias("category")
+    ).agg(F.count("*").alias("records"), F.round(F.sum(value), 2).alias("total"))
+    return shape(good, "rows", F.lit("good"), "price").union(
+        shape(keyed, "rejects", F.col("category"), "o_totalprice")
+    )
+
+
+@query("""
+SELECT part, category, CAST(sum(records) AS BIGINT) AS records, round(sum(total), 2) AS total
+FROM (""" + _ODD_ORDERS.format(unread="malformed record") + ") GROUP BY part, category")
+def csv_rejects(d) -> DataFrame:
+    """Good and malformed records of CSV files, apart, from one read."""
+    path = _odd_orders(d, ",", F.col("o_totalprice").cast("string"))
+    return _split_counts(d, *split_csv(d.spark, path, "key bigint, status string, price double"))
+
+
+@query(_ODD_ORDERS.format(unread="unreadable number"))
+def locale_csv_rejects(d) -> DataFrame:
+    """The same of files with decimal commas and a byte-order mark."""
+    path = _odd_orders(d, ";", decimal_comma(F.col("o_totalprice")), BYTE_ORDER_MARK)
+    good, rejects = split_locale_csv(
+        d.spark, path, ["key", "status", "price"], {"key": "bigint", "price": "double"}
+    )
+    return _split_counts(d, good, rejects)

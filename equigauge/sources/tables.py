@@ -7,7 +7,8 @@ from typing import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from equigauge.functions.text import locale_double
+from equigauge.functions.text import locale_double, strip
+from equigauge.session import staged
 
 
 def read_tree(spark: SparkSession, root: str, path_keys: bool = True) -> DataFrame:
@@ -61,6 +62,67 @@ def read_locale_csv(
     return parse_locale(raw, numbers)
 
 
+CORRUPT = "_corrupt_record"
+REJECTS = "path string, category string, record string"
+MALFORMED, UNREADABLE = "malformed record", "unreadable number"
+
+
+def split_csv(
+    spark: SparkSession, path: str, schema: str, sep: str = ",", stage=staged
+) -> tuple[DataFrame, DataFrame]:
+    """A headed CSV as good rows and rejects (path, category, record), from one read.
+
+    A record with too few or too many fields, or with a field that is not of its type, is a reject
+    as a whole. Every file's header is checked. All fields are parsed, also those that a caller
+    selects away, or else a record's faults would depend on who reads it.
+    """
+    parsed = stage(_permissive(spark, path, schema, sep).withColumn(_PATH, F.col("_metadata.file_path")), "csv")
+    rejects = parsed.filter(F.col(CORRUPT).isNotNull()).select(
+        F.col(_PATH).alias("path"), F.lit(MALFORMED).alias("category"), F.col(CORRUPT).alias("record")
+    )
+    return parsed.filter(F.col(CORRUPT).isNull()).drop(CORRUPT, _PATH), rejects
+
+
+_PATH = "_path"
+
+
+def _permissive(spark: SparkSession, path: str, schema: str, sep: str) -> DataFrame:
+    return (
+        spark.read.schema(f"{schema}, {CORRUPT} string")
+        .option("sep", sep)
+        .option("header", "true")
+        .option("enforceSchema", "false")
+        .option("columnPruning", "false")
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .csv(path)
+    )
+
+
+def split_locale_csv(
+    spark: SparkSession, path: str, columns: list[str], numbers: Mapping[str, str], stage=staged
+) -> tuple[DataFrame, DataFrame]:
+    """`read_locale_csv` as good rows and rejects.
+
+    A record with another number of fields is malformed; one with a number that is none, though
+    it is not empty, is unreadable. A first column's byte-order mark belongs to its name.
+    """
+    texts = ", ".join(f"`{c}` string" for c in columns)
+    raw = stage(_permissive(spark, path, texts, ";").withColumn(_PATH, F.col("_metadata.file_path")), "csv")
+    typed = parse_locale(raw.withColumns({f"_{n}": F.col(n) for n in numbers}), numbers)
+    unread = F.lit(False)
+    for name in numbers:
+        unread = unread | (F.col(name).isNull() & (F.coalesce(strip(F.col(f"_{name}")), F.lit("")) != ""))
+    told = typed.withColumn(
+        "_category", F.when(F.col(CORRUPT).isNotNull(), F.lit(MALFORMED)).when(unread, F.lit(UNREADABLE))
+    )
+    line = F.concat_ws(";", *[F.coalesce(F.col(f"_{c}" if c in numbers else c), F.lit("")) for c in columns])
+    rejects = told.filter(F.col("_category").isNotNull()).select(
+        F.col(_PATH).alias("path"), F.col("_category").alias("category"), F.coalesce(CORRUPT, line).alias("record")
+    )
+    return told.filter(F.col("_category").isNull()).select(*columns), rejects
+
+
 def sql_statements(path: str | Path) -> list[str]:
     """The statements of a small SQL file, in order, for ``spark.sql``."""
     text = Path(path).read_text(encoding="utf-8")
