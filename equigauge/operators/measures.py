@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from equigauge.functions.numeric import money_sum, ratio
 
+#: Binary logarithm of the size of a sketch of distinct values.
+SKETCH = 12
+
+
 def _years() -> Column:
     return F.countDistinct("year")
 
@@ -56,6 +60,31 @@ def measures(
     return df.groupBy(*by).agg(*[registry[n].alias(n) for n in chosen])
 
 
+def slice_by_dimension(facts: DataFrame, dimension: DataFrame, key: str, **filters) -> DataFrame:
+    """Facts of the members that a filter on their dimension picks, with the dimension's columns.
+
+    Where the facts are partitioned by the key, the members that are left prune their partitions
+    before these are read; the filter is never turned into a list by hand.
+    """
+    return facts.join(slice_by(dimension, **filters), key)
+
+
+def distinct_cells(df: DataFrame, by: Sequence[str], column: str, log_size: int = SKETCH) -> DataFrame:
+    """A sketch of the distinct values of a column for each cell, of at most 2^log_size bytes."""
+    return df.groupBy(*by).agg(F.hll_sketch_agg(column, F.lit(log_size)).alias("sketch"))
+
+
+def distinct_of(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Estimated distinct values of any union of cells. Exact counts can't be put together so."""
+    united = cells.groupBy(*by).agg(F.hll_union_agg("sketch").alias("sketch"))
+    return united.select(*by, F.hll_sketch_estimate("sketch").alias("estimate"))
+
+
+def distinct_error(log_size: int = SKETCH) -> float:
+    """Three standard errors of an estimate, as a share of the true count."""
+    return 3 * 1.04 / 2 ** (log_size / 2)
+
+
 def slice_by(df: DataFrame, **filters) -> DataFrame:
     """Conjunction of equality (or any-of) filters; a column set to None is not filtered."""
     for name, wanted in filters.items():

@@ -8,7 +8,7 @@ from equigauge.operators.eligibility import (
     exclusion_funnel, rank_by_events, rank_eligibility, volume_flag,
 )
 from equigauge.operators.scale import (
-    composite_index, fit_scale, min_max, winsorize,
+    apply_scale, composite_index, fit_scale, index_change, min_max, winsorize,
 )
 from equigauge.operators.sensitivity import shared_top, top_entities, weight_sensitivity
 from equigauge.operators.standardize import (
@@ -243,6 +243,15 @@ def index_changes(d) -> DataFrame:
     return rounded(d.change)
 
 
+@query(on_layers("""
+SELECT entity, round(index_1996, 6) AS index_1996, round(index_2000_01, 6) AS index_2000_01,
+       round(change, 6) AS change FROM changes"""))
+def colocated_changes(d) -> DataFrame:
+    """The same from components that are laid out by entity: both periods meet without a shuffle."""
+    scored = apply_scale(d.ranked_colocated, d.ruler, d.study)
+    return rounded(index_change(scored, d.study))
+
+
 @query(on_layers(""", by_region AS (
 SELECT region, period, band, sum(cases) AS c, sum(population) AS p
 FROM tagged GROUP BY region, period, band),

@@ -10,12 +10,17 @@ from equigauge.functions.labels import block_of_year, block_order, period_of_yea
 from equigauge.functions.numeric import money_sum, ratio_of_sums
 from equigauge.functions.text import number_of
 from equigauge.operators.grid import grid_size, population_years
-from equigauge.operators.measures import slice_by
+from equigauge.operators.measures import (
+    distinct_cells, distinct_error, distinct_of, slice_by, slice_by_dimension,
+)
 from equigauge.operators.profiles import with_period
 from equigauge.operators.rollup import (
     duplicate_codes, expand_code, first_attributes, label_sex, merge_cells,
 )
 from equigauge.plans.catalogue.base import big, on_layers, query, rounded
+from equigauge.session import stage_path, staged
+from equigauge.sinks.files import write_partitioned
+from equigauge.sources.tables import read_tree
 
 
 @query(on_layers("""
@@ -303,3 +308,52 @@ def key_difference(d) -> DataFrame:
     seen = lambda y: F.bool_or(F.col("year") == y)
     years = d.bronze.groupBy("code").agg(seen(1996).alias("one"), seen(2000).alias("other"))
     return years.filter(F.col("one") & ~F.col("other")).select("code")
+
+
+@query(on_layers("""
+SELECT region, CAST(sum(cases) AS BIGINT) AS cases, CAST(sum(severe) AS BIGINT) AS severe
+FROM events f JOIN entities e USING (entity) WHERE year IN (1997, 1998) GROUP BY region"""))
+def pruned_star(d) -> DataFrame:
+    """Facts by year, pruned by a filter on the block of the time dimension."""
+    facts, time = pruning_tables(d)
+    chosen = slice_by_dimension(facts, time, "year", block="1997-98")
+    by_entity = chosen.groupBy("entity").agg(big("cases"), big("severe"))
+    return by_entity.join(d.entities.select("entity", "region"), "entity").groupBy("region").agg(
+        big("cases"), big("severe")
+    )
+
+
+def pruning_tables(d) -> tuple[DataFrame, DataFrame]:
+    """The facts as a tree by year, and the time dimension as a table."""
+    path = stage_path(d.spark, "facts-by-year")
+    write_partitioned(d.events, path, ["year"])
+    years = d.spark.createDataFrame([(y,) for y in d.study.years], "year int")
+    time = years.select("year", block_of_year(F.col("year"), d.study).alias("block"))
+    return read_tree(d.spark, path), staged(time, "time")
+
+
+@query(on_layers("""
+SELECT region, count(DISTINCT entity) AS entities, true AS within_bound
+FROM events f JOIN entities e USING (entity) WHERE sex = 'F' AND year >= 1997 GROUP BY region"""))
+def distinct_sketches(d) -> DataFrame:
+    """Entities with events of a slice: exact, and united from sketches of its cells."""
+    events = d.events.join(d.entities.select("entity", "region"), "entity")
+    cells = distinct_cells(events, ["region", "sex", "year"], "entity")
+    chosen = (F.col("sex") == "F") & (F.col("year") >= 1997)
+    estimated = distinct_of(cells.filter(chosen), ["region"])
+    exact = events.filter(chosen).groupBy("region").agg(F.countDistinct("entity").alias("entities"))
+    error = F.abs(F.col("estimate") - F.col("entities"))
+    return exact.join(estimated, "region").select(
+        "region", "entities", (error <= distinct_error() * F.col("entities")).alias("within_bound")
+    )
+
+
+@query(on_layers("""
+SELECT region, year, count(coverage) AS covered_cells, round(avg(coverage), 6) AS mean_coverage
+FROM gold GROUP BY region, year"""))
+def colocated_coverage(d) -> DataFrame:
+    """Coverage over the grid from layers that are laid out by entity: no shuffle before the sums."""
+    out = d.gold_colocated.groupBy("region", "year").agg(
+        F.count("coverage").alias("covered_cells"), F.avg("coverage").alias("mean_coverage")
+    )
+    return rounded(out)

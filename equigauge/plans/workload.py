@@ -24,6 +24,7 @@ from equigauge.operators.rollup import code_lookup, expand_code, label_sex, merg
 from equigauge.operators.scale import apply_scale, check_scale, fit_scale, index_change
 from equigauge.operators.standardize import sound, standard_population
 from equigauge.session import staged
+from equigauge.sinks.bucketed import colocate
 from equigauge.sources.nested import all_coverage, annual_coverage
 
 CODE_LENGTH = 12
@@ -256,6 +257,24 @@ class Layers:
     def gold_covered(self) -> DataFrame:
         return self.grid(coverage=True)
 
+    @cached_property
+    def colocated(self) -> dict[str, DataFrame]:
+        """Census, events and coverage laid out by entity."""
+        tables = {"census": self.census.drop("code"), "events": self.events, "coverage": self.coverage}
+        return colocate(self.spark, tables, "entity", self.census.count())
+
+    @cached_property
+    def gold_colocated(self) -> DataFrame:
+        """The covered grid, joined bucket by bucket."""
+        own = self.colocated
+        return dense_grid(own["census"], self.study.years, own["events"], own["coverage"])
+
+    @cached_property
+    def ranked_colocated(self) -> DataFrame:
+        """Components of the ranked entities, laid out by entity."""
+        rows = self.ranked.count()
+        return colocate(self.spark, {"ranked": self.ranked}, "entity", rows)["ranked"]
+
     @cached_property
     def period_years(self) -> list[int]:
         return [*self.study.base.years, *self.study.current.years]
