@@ -177,3 +177,76 @@ def entity_components_sparse(
         rate_problem(F.col("_cases"), F.col("_population")).alias("problem"),
     )
     return component_ratios(rates)
+
+
+def period_cells(events: DataFrame, population: DataFrame, study: Study) -> DataFrame:
+    """One row per entity and sex with all that components and profiles add up, from one pass.
+
+    For each comparison period ``i`` and band ``j``: ``cases_i``, ``severe_i``, ``deaths_i``,
+    ``age_sum_i``, ``age_known_i`` and ``cases_i_j``; ``people_j`` is the population of one year.
+    All are sums, so entities, regions, and regions by sex are further sums of these rows. Takes
+    what `entity_components_sparse` takes; events without an entity and sex of the population are
+    left out, and every entity is expected to have all its bands.
+    """
+    labels = study.bands.labels
+    rows = events.filter(
+        F.col("band").isin(*labels) & F.col("sex").isin(*study.sexes) & F.col("year").isin(*study.years)
+    )
+    sums: list[Column] = [F.count("*").alias("total_cases")]
+    for i, period in enumerate(study.periods):
+        here = F.col("year").isin(*period.years)
+        age = F.when(here, F.col("age_years"))
+        sums += [
+            F.count_if(here).alias(f"cases_{i}"),
+            F.count_if(here & F.col("severe")).alias(f"severe_{i}"),
+            F.sum(F.when(here, F.col("death").cast("long")).otherwise(F.lit(0))).alias(f"deaths_{i}"),
+            F.coalesce(F.sum(age), F.lit(0.0)).alias(f"age_sum_{i}"),
+            F.count(age).alias(f"age_known_{i}"),
+            *[F.count_if(here & (F.col("band") == b)).alias(f"cases_{i}_{j}") for j, b in enumerate(labels)],
+        ]
+    wide = rows.groupBy("code", "sex").agg(*sums)
+    people = population.groupBy("code", "entity", "state", "region", "sex").agg(
+        *[
+            F.sum(F.when(F.col("band") == b, F.col("population")).otherwise(F.lit(0))).alias(f"people_{j}")
+            for j, b in enumerate(labels)
+        ]
+    )
+    measures = [c for c in wide.columns if c not in ("code", "sex")]
+    return people.join(wide, ["code", "sex"], "left").fillna(0, subset=measures).drop("code")
+
+
+def cells_by(cells: DataFrame, keys: Sequence[str], study: Study) -> DataFrame:
+    """`period_cells` added up by keys, a row for each period, with `cases_by_band` as arrays."""
+    n = len(study.bands.labels)
+    texts = ("entity", "state", "region", "sex")
+    summed = cells.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in cells.columns if c not in texts])
+    enough = F.lit(True)
+    for i in range(len(study.periods)):
+        enough = enough & (F.col(f"cases_{i}") >= study.min_period)
+    rows = [
+        F.struct(
+            F.lit(period.label).alias("period"),
+            *[F.col(f"{m}_{i}").alias(m) for m in ("cases", "severe", "deaths", "age_sum", "age_known")],
+            F.array(*[F.col(f"cases_{i}_{j}") for j in range(n)]).alias("_cases"),
+            F.array(*[F.col(f"people_{j}") * F.lit(len(period.years)) for j in range(n)]).alias("_population"),
+        )
+        for i, period in enumerate(study.periods)
+    ]
+    return summed.select(
+        *keys, "total_cases", (F.col("total_cases") >= study.min_total).alias("passed_total"),
+        enough.alias("passed_period"), F.inline(F.array(*rows)),
+    ).withColumn("ranked", F.col("passed_total") & F.col("passed_period"))
+
+
+def components_of(
+    cells: DataFrame, keys: Sequence[str], standard: DataFrame, study: Study
+) -> DataFrame:
+    """Components by keys and period from `period_cells`."""
+    rows = cells_by(cells, keys, study).withColumn("_weights", band_weights(standard, study.bands))
+    rate = weighted_rate(
+        F.col("_cases"), F.col("_population"), F.col("_weights"), len(study.bands.labels), study.per
+    )
+    rates = rows.withColumns(
+        {"std_rate": rate, "problem": rate_problem(F.col("_cases"), F.col("_population"))}
+    )
+    return component_ratios(rates.drop("_cases", "_population", "_weights"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from equigauge.functions.numeric import ratio
 from equigauge.operators.eligibility import (
     exclusion_funnel, rank_by_events, rank_eligibility, volume_flag,
 )
@@ -295,6 +296,30 @@ def region_sex_profile(d) -> DataFrame:
     return rounded(d.sexes)
 
 
+@query(on_layers(""", cells AS (SELECT * FROM gold WHERE year IN (2000, 2001)),
+b AS (SELECT region, sex, band, sum(cases) AS c, sum(population) AS p FROM cells
+      GROUP BY region, sex, band),
+r AS (SELECT region, sex, sum(CAST(c AS DOUBLE) / p * w) * 100000 AS std_rate
+      FROM b JOIN weights USING (band) GROUP BY region, sex)
+SELECT region, sex, CAST(sum(cases) AS BIGINT) AS cases, CAST(sum(severe) AS BIGINT) AS severe,
+       CAST(sum(deaths) AS BIGINT) AS deaths, CAST(sum(age_sum) AS DOUBLE) AS age_sum,
+       CAST(sum(age_known) AS BIGINT) AS age_known, round(min(std_rate), 6) AS std_rate,
+       round(CAST(100 AS DOUBLE) * sum(severe) / sum(cases), 6) AS severe_pct,
+       round(CAST(100 AS DOUBLE) * sum(deaths) / sum(cases), 6) AS death_pct,
+       round(sum(age_sum) / sum(age_known), 6) AS mean_age
+FROM cells JOIN r USING (region, sex) GROUP BY region, sex"""))
+def shared_sex_profile(d) -> DataFrame:
+    """The same from the pass that the index and the regions share."""
+    now = sound(d.shared_components(["region", "sex"])).filter(F.col("period") == d.study.current.label)
+    return rounded(
+        now.select(
+            "region", "sex", "cases", "severe", "deaths", "age_sum", "age_known", "std_rate",
+            (F.col("severe_frac") * 100).alias("severe_pct"), (F.col("death_frac") * 100).alias("death_pct"),
+            ratio(F.col("age_sum"), F.col("age_known")).alias("mean_age"),
+        )
+    )
+
+
 @query(on_layers(""", now AS (SELECT * FROM ranked WHERE period = '2000-01'),
 q AS (
 SELECT quantile_cont(std_rate, 0.01) AS r0, quantile_cont(std_rate, 0.99) AS r1,

@@ -18,7 +18,7 @@ from equigauge.operators.cohort import to_bronze
 from equigauge.operators.grid import additive_cells, dense_grid
 from equigauge.operators.export import wide_index
 from equigauge.operators.profiles import (
-    entity_components, entity_components_sparse, region_components, sex_profile, with_period,
+    components_of, entity_components, entity_components_sparse, period_cells, sex_profile, with_period,
 )
 from equigauge.operators.rollup import code_lookup, expand_code, label_sex, merge_cells, roll_up
 from equigauge.operators.scale import apply_scale, check_scale, fit_scale, index_change
@@ -299,8 +299,23 @@ class Layers:
 
     @cached_property
     def ranked(self) -> DataFrame:
-        """Components of the ranked entities, written once: the ruler and the index read them."""
-        return staged(sound(self.components.filter("ranked")), "ranked")
+        """Components of the ranked entities, written once: the ruler and the index read them.
+
+        They come from the shared pass where there is one already.
+        """
+        shared = "shared_pass" in self.__dict__
+        components = self.shared_components(["entity", "state", "region"]) if shared else self.components
+        unused = ["age_sum", "age_known"] if shared else []
+        return staged(sound(components.filter("ranked")).drop(*unused), "ranked")
+
+    @cached_property
+    def shared_pass(self) -> DataFrame:
+        """What entities, regions and sexes add up, from one pass over the records, written once."""
+        events = label_sex(self.bronze, SEX_BY_RECORD_CODE)
+        return staged(period_cells(events, self.census, self.study), "period-cells")
+
+    def shared_components(self, keys: list[str]) -> DataFrame:
+        return components_of(self.shared_pass, keys, self.standard, self.study)
 
     @cached_property
     def period_coverage(self) -> DataFrame:
@@ -349,10 +364,12 @@ class Layers:
 
     @cached_property
     def regions(self) -> DataFrame:
-        """Region components over all entities, on the ruler of the ranked ones."""
-        components = sound(
-            region_components(self.cells(self.period_years), self.standard, self.study)
-        )
+        """Region components over all entities, on the ruler of the ranked ones.
+
+        Both come from the shared pass.
+        """
+        of_entities = ["total_cases", "passed_total", "passed_period", "ranked", "age_sum", "age_known"]
+        components = sound(self.shared_components(["region"])).drop(*of_entities)
         return apply_scale(
             components.join(self.region_coverage, ["region", "period"], "left"),
             self.ruler,

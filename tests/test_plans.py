@@ -92,3 +92,23 @@ def test_distinct_counts_of_united_cells(spark):
     for r in distinct_of(cells, ["a"]).collect():
         assert abs(r["estimate"] - exact[r["a"]]) <= distinct_error() * exact[r["a"]]
     assert distinct_of(distinct_cells(df.limit(0), ["a"], "e"), ["a"]).count() == 0
+
+
+def test_one_pass_over_the_records(spark):
+    """Entities, regions and sexes read the records once, when the shared pass is written."""
+    d = Layers(spark, FOLDER)
+    seen = []
+    df = d.regions
+    for table in (d.bronze, d.shared_pass, d.ranked, df, d.shared_components(["region", "sex"])):
+        seen.append(sum("lineitem" in f for f in table.inputFiles()))
+    assert seen == [1, 0, 0, 0, 0]
+
+
+def test_shared_and_sparse_components_agree(spark):
+    d = Layers(spark, FOLDER)
+    names = ("cases", "severe", "deaths", "total_cases", "ranked", "std_rate", "severe_frac", "problem")
+    rows = lambda df: {(r["entity"], r["period"]): tuple(r[n] for n in names) for r in df.collect()}
+    shared, sparse = rows(d.shared_components(["entity", "state", "region"])), rows(d.components)
+    assert set(shared) == set(sparse)
+    for key, row in sparse.items():
+        assert shared[key] == pytest.approx(row), key
