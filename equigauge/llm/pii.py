@@ -37,7 +37,7 @@ HEX = "0123456789abcdef"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 SECRET = (
     r"(?<=(?i:token|secret|password|api[_-]?key)[ ]{0,3}[=:][ ]{0,3}[\"'])"
-    r"[A-Za-z0-9_/+=.-]{8,200}(?=[\"'])"
+    r"[A-Za-z0-9_/+=.-]{8,}+(?=[\"'])"
 )
 EMAIL = (
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@"
@@ -54,12 +54,14 @@ PHONE = (
     r"|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,5}|\+[0-9]{8,15}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])"
 )
 CARD = (
-    r"(?<![0-9])(?:[2-6][0-9]{12,18}|[2-6][0-9]{3}(?:[ -][0-9]{4}){3}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
+    r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
 )
 ANY = "|".join((SECRET, EMAIL, ADDRESS, DATE, SOCIAL, CARD, PHONE))
 
-#: First and last day of the dates that are permuted, as factors of their number: 365 x 400 days.
+#: Dates of the 146,000 days from 1800 on are permuted among themselves, all others of the years 1 to
+#: 9999 among themselves. Sizes are factors of the numbers of days; so many are before 1800.
 DATE_FROM, DATE_SIZE = "1800-01-01", (365, 400)
+EARLIER_DAYS, OTHER_SIZE = 657_071, (47, 74_597)
 SOCIAL_SIZE = (898 * 99, 9999)
 ADDRESS_SIZE = (65_536, 65_536)
 
@@ -228,15 +230,24 @@ def social(value: Column) -> Column:
 
 def date(value: Column) -> Column:
     out = value
+    first, days = F.lit(DATE_FROM).cast("date"), DATE_SIZE[0] * DATE_SIZE[1]
     for form, shape in (
         ("MM/dd/yyyy", "/"), ("dd/MM/yyyy", "/"), ("dd.MM.yyyy", r"\."), ("yyyy-MM-dd", "[0-9]-"),
     ):
         day = F.try_to_date(value, form)
-        n = F.datediff(day, F.lit(DATE_FROM).cast("date"))
+        n = F.datediff(day, first)
         a, b = permute_pair(F.floor(n / DATE_SIZE[1]), n % DATE_SIZE[1], DATE_SIZE, f"date-{form}")
-        new = F.date_add(F.lit(DATE_FROM).cast("date"), (a * DATE_SIZE[1] + b).cast("int"))
-        fits = F.regexp_like(value, F.lit(shape)) & n.between(0, DATE_SIZE[0] * DATE_SIZE[1] - 1)
-        out = F.when(fits, F.date_format(new, form)).otherwise(out)
+        # The other days are numbered without the gap between them.
+        other = F.when(n < 0, n + EARLIER_DAYS).otherwise(n - days + EARLIER_DAYS)
+        c, d = permute_pair(
+            F.floor(other / OTHER_SIZE[1]), other % OTHER_SIZE[1], OTHER_SIZE, f"other-date-{form}"
+        )
+        new_other = c * OTHER_SIZE[1] + d - EARLIER_DAYS
+        new = F.when(n.between(0, days - 1), a * DATE_SIZE[1] + b).otherwise(
+            F.when(new_other < 0, new_other).otherwise(new_other + days)
+        )
+        written = F.date_format(F.date_add(first, new.cast("int")), form)
+        out = F.when(F.regexp_like(value, F.lit(shape)) & n.isNotNull(), written).otherwise(out)
     return out
 
 
@@ -250,7 +261,7 @@ def pseudonym(value: Column) -> Column:
     bare = {
         "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}",
         "social": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-        "card": r"[2-6][0-9]{12,18}|[2-6][0-9]{3}(?:[ -][0-9]{4}){3}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5}",
+        "card": r"[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5}",
         "phone": r"[+(0-9][0-9 .()+-]+",
     }
     return (

@@ -174,9 +174,14 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def with_score(docs: DataFrame, labelled: DataFrame, name: str = "score") -> DataFrame:
-    """``docs`` and the score of their texts, by a model of ``labelled`` (doc_id, text, label)."""
+    """``docs`` and the score of their texts, by a model of ``labelled`` (doc_id, text, label).
+
+    A column that is called like the score is refused, not replaced.
+    """
+    if name in docs.columns:
+        raise ValueError(f"the documents have a column named {name}")
     sent = docs.sparkSession.sparkContext.broadcast(fit(labelled))
-    rows = docs.drop(name)
+    rows = docs
     at = rows.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

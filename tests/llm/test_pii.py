@@ -98,3 +98,43 @@ def test_rows_and_columns_are_kept(documents):
 @pytest.mark.parametrize("size", [pii.DATE_SIZE, pii.SOCIAL_SIZE, pii.ADDRESS_SIZE])
 def test_formats_fit_their_numbers(size):
     assert size[0] * size[1] in {146_000, 898 * 99 * 9999, 1 << 32}
+
+
+def test_every_luhn_number_is_replaced(spark):
+    """Whatever its first digit and its length; numbers that fail the check stay."""
+    numbers = []
+    for first in "0123456789":
+        for size in (13, 16, 19):
+            body = first + "27182818284590452353"[: size - 2]
+            numbers += [body + c for c in "0123456789" if luhn(body + c)]
+    assert len(numbers) == 30
+    out = replaced(spark, *numbers)
+    assert all(luhn(n) and len(n) == len(o) and n[0] == o[0] for n, o in zip(numbers, out, strict=True))
+    assert sum(n != o for n, o in zip(numbers, out, strict=True)) >= 29
+    bad = [n[:-1] + str((int(n[-1]) + 1) % 10) for n in numbers]
+    assert replaced(spark, *bad) == bad
+
+
+def test_dates_of_any_year(spark):
+    days = [datetime.date(y, m, d) for y in (1, 999, 1799, 1800, 2199, 2200, 9999) for m, d in ((1, 1), (12, 31), (2, 28))]
+    out = replaced(spark, *[d.isoformat() for d in days])
+    new = [datetime.date.fromisoformat(o) for o in out]
+    assert all(re.fullmatch(r"\d{4}-\d\d-\d\d", o) for o in out)
+    assert len(set(new)) == len(days) and sum(a != b for a, b in zip(days, new, strict=True)) >= len(days) - 1
+    # Common dates stay among themselves.
+    first, last = datetime.date(1800, 1, 1), datetime.date(1800, 1, 1) + datetime.timedelta(365 * 400 - 1)
+    assert [first <= a <= last for a in days] == [first <= b <= last for b in new]
+
+
+def test_other_dates_are_permuted_one_to_one(spark):
+    every = spark.sql("SELECT explode(sequence(DATE'2200-01-01', DATE'2212-12-31', INTERVAL 1 DAY)) AS d").select(
+        F.date_format("d", "dd.MM.yyyy").alias("text"))
+    new = every.select(pii.date(F.col("text")).alias("x"))
+    assert new.distinct().count() == every.count()
+
+
+def test_long_secrets(spark):
+    secret = "aB3_" * 75
+    (out,) = replaced(spark, f"token = '{secret}' and {secret}")
+    found = re.fullmatch(r"token = '([A-Za-z0-9_]{300})' and (.*)", out)
+    assert found and found[1] != secret and found[2] == secret

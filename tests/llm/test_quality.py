@@ -40,7 +40,7 @@ def test_held_out_accuracy(spark, documents, prose):
     labels = spark.createDataFrame([(i, g) for i, _, g in rows], "doc_id long, quality int")
     train = training_rows(docs, labels)
     assert {r["doc_id"] for r in train.collect()} == {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 4 != 2}
-    scored = with_score(docs, train).filter(held_out(F.col("doc_id"))).select("doc_id", "score").collect()
+    scored = with_score(docs.select("doc_id", "text"), train).filter(held_out(F.col("doc_id"))).collect()
     truth = {i: g for i, _, g in rows}
     assert len(scored) > 50
     assert np.mean([(r["score"] >= quality.THRESHOLD) == truth[r["doc_id"]] for r in scored]) > 0.95
@@ -55,9 +55,12 @@ def test_odd_rows(spark, documents, prose):
     assert got.columns == [*docs.columns, "quality_score"]
     scores = [r["quality_score"] for r in got.collect()]
     assert len(scores) == 6 and all(0 <= s <= 1 for s in scores) and scores[4] == scores[5] and scores[0] == scores[1]
-    assert with_score(documents([]), model_rows).count() == 0
-    nothing = with_score(docs, model_rows.limit(0)).collect()
+    with pytest.raises(ValueError, match="column named score"):
+        with_score(docs, model_rows)
+    plain = lambda df: df.drop("score")
+    assert with_score(plain(documents([])), model_rows).count() == 0
+    nothing = with_score(plain(docs), model_rows.limit(0)).collect()
     assert {r["score"] for r in nothing} == {0.5}
-    same = with_score(documents([(9, rows[1][1], "s")]), model_rows.filter("doc_id = 1")).first()
+    same = with_score(plain(documents([(9, rows[1][1], "s")])), model_rows.filter("doc_id = 1")).first()
     assert same["score"] == 1.0
     assert fit(model_rows, 10).vectors.shape[0] == 10
