@@ -5,13 +5,13 @@ Quality classifier, near-duplicates, pseudonyms, mix of sources, BPE encoding. E
 return the columns of documents. ``run`` writes what a stage returns to the shared folder and
 reads it again for the next.
 
-Rows with the same doc_id are one document to the near-duplicate stage; rows without an id pass
-it. The mix repeats documents, so their ids repeat from there on.
+The near-duplicate stage judges rows, so ids may repeat or be null. The mix repeats documents, so
+their ids repeat from there on.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equigauge.llm import bpe, dedup, mixing, pii, quality
@@ -23,15 +23,43 @@ TOKENIZER = "byte_bpe_50k.json"
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold."""
     labelled = quality.training_rows(docs, read_table(spark, sf_dir, "labels"))
-    scored = quality.with_score(docs, labelled, "_row_score")
-    return scored.filter(F.col("_row_score") >= quality.THRESHOLD).drop("_row_score")
+    name = _free_name(docs, "_row_score")
+    scored = quality.with_score(docs, labelled, name)
+    return scored.filter(F.col(name) >= quality.THRESHOLD).select(*docs.columns)
+
+
+def _free_name(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A text that sorts by doc_id (null last), then tells rows of one id apart by their texts."""
+    # Hexadecimal digits sort like the numbers once the sign bit is turned.
+    number = F.lpad(F.hex(doc_id.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.coalesce(number, F.lit("null")), F.lit("|"), F.md5(F.coalesce(text, F.lit(""))))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near-duplicates."""
+    """One row of each group of near-duplicates: of the smallest doc_id, null last.
+
+    Rows are judged and dropped one by one, whatever ids they share. Of rows with the same id and
+    text one stays.
+    """
     prepare(spark)
-    gone = dedup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    name = _free_name(docs, "_row_key")
+    keyed = docs.withColumn(name, row_key(F.col("doc_id"), F.col("text")))
+    judged = dedup.near_duplicates(keyed.select(F.col(name).alias("doc_id"), "text"))
+    gone = judged.filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    left = keyed.join(gone, name, "left_anti")
+    # Rows that are repeated whole have one key; there are few keys of more than one row, mostly none.
+    repeated = staged(
+        keyed.groupBy(name).agg(F.count("*").alias("_rows")).filter("_rows > 1").select(name), "repeated-keys"
+    )
+    single = left.join(repeated, name, "left_anti")
+    again = left.join(repeated, name, "left_semi").dropDuplicates([name])
+    return single.unionByName(again).select(*docs.columns)
 
 
 def pseudonym_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
