@@ -15,6 +15,14 @@ from equigauge.functions.text import nan_to_null
 from equigauge.session import staged
 
 
+#: Distinct values of one slice, about.
+SLICE_VALUES = 100_000
+
+
+def slice_count(values: int) -> int:
+    return max(1, -(-values // SLICE_VALUES))
+
+
 def value_positions(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Distinct values per group with ``n`` copies, ``before`` smaller rows and group ``total``."""
     by = list(by)
@@ -29,9 +37,13 @@ def value_positions(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def _positions_of_counts(counts: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """`value_positions` of rows that are already one per distinct value, with ``n`` copies."""
-    # Range boundaries come from a sample, so the slices are written once and then only read.
+    # Range boundaries come from a sample, so what is sampled and the slices are written once and
+    # then only read. There are as many slices as the distinct values need, whatever the session's
+    # number of shuffle partitions.
+    counts = staged(counts, "counted-values")
+    parts = slice_count(counts.count())
     slices = staged(
-        counts.repartitionByRange(*by, value).withColumn("_slice", F.spark_partition_id()),
+        counts.repartitionByRange(parts, *by, value).withColumn("_slice", F.spark_partition_id()),
         "slices",
     )
     slice_keys = [*by, "_slice"]

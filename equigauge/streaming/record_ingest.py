@@ -63,7 +63,17 @@ class RecordIngest:
         return write
 
     def process(self, files: DataFrame, batch: int) -> None:
-        """Write everything of a batch of files (path, length, name)."""
+        """Write everything of a batch of files (path, length, name).
+
+        A batch of the same files that is done already is left as it is. One of other files under a
+        number that is taken is refused: its stream's checkpoint is not the one of this root.
+        """
+        spark = files.sparkSession
+        if batch in batches(spark, self.root):
+            known = spark.read.parquet(self.folder("ledger", batch)).select("path")
+            if files.join(known, "path", "left_anti").isEmpty():
+                return
+            raise ValueError(f"batch {batch} of {self.root} is done with other files")
         headers = self.scratch(batch)(self._judged(files), "headers")
         bad = headers.filter("status <> 'ok'")
         bad.select("path", "name", F.col("status").alias("category")).write.mode("overwrite").parquet(
@@ -113,6 +123,8 @@ class RecordIngest:
     def _write_rows(self, headers: DataFrame, batch: int) -> tuple[int, int, int]:
         records = read_ranges(headers, self.columns, self.range_bytes, self.scratch(batch))
         if records is None:
+            # An attempt before, of other files, may have left some.
+            delete_folder(headers.sparkSession, self.folder("rows", batch))
             return 0, 0, 0
         before, after = Observation(), Observation()
         named = records.withColumns(file_name_parts(F.col("name"), self.years))

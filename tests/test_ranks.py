@@ -8,10 +8,21 @@ from equigauge.operators.distribution import (
     QUARTILES, box_summary, context_profile, describe, histogram, null_counts, pearson_matrix,
     value_counts,
 )
+from equigauge.operators import ranks
 from equigauge.operators.ranks import average_ranks, quantiles, quantiles_approx, spearman
 from equigauge.operators.scale import min_max, winsorize
 
 
+@pytest.fixture(autouse=True)
+def small_slices(monkeypatch):
+    """Many slices, as at full size."""
+    monkeypatch.setattr(ranks, "SLICE_VALUES", 150)
+
+
+def test_slices_follow_the_distinct_values():
+    assert [ranks.slice_count(n) for n in (0, 150, 151, 3000)] == [1, 1, 2, 20]
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     rng = np.random.default_rng(11)

@@ -183,6 +183,22 @@ def test_too_many_rejects_stop_the_ingest(spark, tmp_path, streamed):
     assert spark.read.parquet(f"{root}/rejects").count() == 6
 
 
+def test_a_checkpoint_of_another_root(spark, tmp_path):
+    source, root, log = folders(tmp_path)
+    job = RecordIngest(root, COLUMNS, kept, YEARS)
+    write_record_files(people(spark, ["RDSP1901"]), source, "file", FIELDS)
+    ingest_stream(spark, source, job, log)
+    # The same files under the same number: nothing is done twice.
+    ingest_stream(spark, source, job, log + "-lost")
+    assert account(spark, root)[1] == (1, 0, 40, 32, 8)
+    write_record_files(people(spark, ["RDSP1902"]), source, "file", FIELDS)
+    with pytest.raises(StreamingQueryException, match="done with other files"):
+        ingest_stream(spark, source, job, log + "-lost-again")
+    assert account(spark, root)[1] == (1, 0, 40, 32, 8)
+    ingest_stream(spark, source, job, log)
+    assert account(spark, root)[1] == (2, 0, 80, 64, 16)
+
+
 def test_expected_files(spark, tmp_path):
     source = str(tmp_path / "in")
     write_record_files(people(spark, ["RDSP1901", "RDSP1903", "RDRJ1902", "RDXX1901", "other"], 2), source, "file", FIELDS)
