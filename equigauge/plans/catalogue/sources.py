@@ -15,7 +15,7 @@ from equigauge.plans.workload import entity_code, full_code
 from equigauge.sinks.files import (
     write_csv, write_locale_csv, write_parquet, write_partitioned,
 )
-from equigauge.session import stage_path
+from equigauge.session import spread, stage_path
 from equigauge.sources.fixed_width import decode_files, file_headers
 from equigauge.sources.nested import (
     crosstab_to_long, flatten_census, read_census, read_coverage, read_crosstab, regroup_bands,
@@ -232,7 +232,8 @@ def _census_documents(d) -> DataFrame:
         )
 
     response = F.array(F.struct(F.transform(keys, result).alias("resultados")))
-    return d.table("customer").select(F.to_json(response).alias("json"))
+    # One short row becomes a document of all groups, which is then written and parsed.
+    return spread(d.table("customer").select("c_custkey")).select(F.to_json(response).alias("json"))
 
 
 _CENSUS_SQL = on_layers(f""", groups(k, band) AS (VALUES {_GROUP_ROWS})
