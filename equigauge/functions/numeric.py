@@ -33,5 +33,5 @@ def half_even(col: Column, digits: int) -> Column:
 
 
 def whole(col: Column) -> Column:
-    """A float count as an integer."""
-    return F.bround(col.cast("double"), 0).cast("long")
+    """A float count as an integer, half to even; in doubles, without a decimal for every value."""
+    return F.rint(col.cast("double")).cast("long")

@@ -78,7 +78,9 @@ def first_attributes(df: DataFrame, key: str, names: Sequence[str]) -> DataFrame
     """One known value per key for columns that should not vary within it; nulls are passed over.
 
     Rows first shrink to the distinct combinations by hashing, so that the smallest text of each
-    column is sought among a few rows per key.
+    column is sought among a few rows per key. The shuffle by the key that comes next anyway is
+    asked for in between: the optimizer would drop a distinct right below a minimum, and every row
+    would be sorted.
     """
-    few = df.select(key, *names).distinct()
+    few = df.select(key, *names).distinct().repartition(key)
     return few.groupBy(key).agg(*[F.min(n).alias(n) for n in names])

@@ -23,7 +23,7 @@ from equigauge.operators.profiles import (
 from equigauge.operators.rollup import code_lookup, expand_code, label_sex, merge_cells, roll_up
 from equigauge.operators.scale import apply_scale, check_scale, fit_scale, index_change
 from equigauge.operators.standardize import sound, standard_population
-from equigauge.session import staged
+from equigauge.session import spread, staged
 from equigauge.sinks.bucketed import colocate
 from equigauge.sources.nested import all_coverage, annual_coverage
 
@@ -104,7 +104,7 @@ class Layers:
 
     @cached_property
     def census(self) -> DataFrame:
-        """Dense population cells: entity x sex x band."""
+        """Dense population cells: entity x sex x band. Entities are spread before they multiply."""
         labels = self.study.bands.labels
         cells = [
             F.struct(
@@ -122,7 +122,9 @@ class Layers:
             + (key * 37 + F.col("sex_ix") * 101 + F.col("band_ix") * 59) % 400
             + F.floor(F.abs(F.col("c_acctbal")) / 100)
         )
-        return self.entities.select("*", F.inline(F.array(*cells))).select(
+        # After the join, which could else broadcast the customers.
+        entities = spread(self.entities, self.table("customer").count())
+        return entities.select("*", F.inline(F.array(*cells))).select(
             "entity", "code", "state", "region", "sex", "band",
             people.cast("long").alias("population"),
         )
@@ -261,7 +263,9 @@ class Layers:
     def colocated(self) -> dict[str, DataFrame]:
         """Census, events and coverage laid out by entity."""
         tables = {"census": self.census.drop("code"), "events": self.events, "coverage": self.coverage}
-        return colocate(self.spark, tables, "entity", self.census.count())
+        # A bucket of the census is joined and sorted after it has been repeated for every year.
+        rows = self.census.count() * len(self.study.years)
+        return colocate(self.spark, tables, "entity", rows)
 
     @cached_property
     def gold_colocated(self) -> DataFrame:

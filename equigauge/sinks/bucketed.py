@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from equigauge.session import stage_path
 
-#: Rows of the largest table in one bucket, about.
+#: Rows of the largest table in one bucket, about, counted as often as a join repeats them.
 BUCKET_ROWS = 4_000_000
 LEAST_BUCKETS = 8
 
@@ -41,7 +41,7 @@ def write_bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFra
 
 
 def colocate(spark: SparkSession, tables: dict[str, DataFrame], key: str, rows: int) -> dict[str, DataFrame]:
-    """All tables in one layout by the key. ``rows`` is the size of the largest."""
+    """All tables in one layout by the key. ``rows`` is the size of the largest, as it is joined."""
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     buckets = bucket_count(rows)
     return {name: write_bucketed(df, name, key, buckets) for name, df in tables.items()}
