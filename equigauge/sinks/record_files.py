@@ -12,6 +12,7 @@ from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from equigauge.session import staged
 from equigauge.sources.fixed_width import (
     CHARSET, DESCRIPTOR_SIZE, END_OF_FIELDS, HEADER_SIZE, NAME_SIZE, SIZE_AT, TYPE_AT,
 )
@@ -71,8 +72,12 @@ def record_of(fields: list[Field]) -> Column:
 def write_record_files(
     df: DataFrame, path: str, name: str, fields: list[Field], file_records: int = FILE_RECORDS
 ) -> int:
-    """One file or more for every value of column ``name``; returns the number of files."""
-    rows = df.select(F.col(name).alias("_name"), record_of(fields).alias("_bytes"))
+    """One file or more for every value of column ``name``; returns the number of files.
+
+    Records are made once and staged: files are counted out, headed and filled from those.
+    """
+    made = df.select(F.col(name).alias("_name"), record_of(fields).alias("_bytes"))
+    rows = staged(made, "records")
     parts = rows.groupBy("_name").agg(
         F.greatest(F.ceil(F.count("*") / F.lit(file_records)), F.lit(1)).cast("long").alias("_parts")
     )

@@ -171,7 +171,8 @@ def decode_files(files: DataFrame, columns: Mapping[str, str] | None = None) ->
 
 def wanted_fields(columns: Mapping[str, str]) -> list[Column]:
     """The wanted fields of a header, so that rows carry two numbers per column, not the header."""
-    return [_field_named(name).alias(f"_{name}") for name in columns]
+    place = lambda field: F.when(field.isNotNull(), F.struct(field["at"].alias("at"), field["size"].alias("size")))
+    return [place(_field_named(name)).alias(f"_{name}") for name in columns]
 
 
 def decode_chunks(
@@ -188,7 +189,7 @@ def decode_chunks(
     )
     records = chunks.select(
         *keep, *[f"_{name}" for name in columns], F.explode(cut).alias("_record")
-    ).filter(F.hex(_bytes(F.col("_record"), 1, 1)) != DELETED)
+    ).filter(_bytes(F.col("_record"), 1, 1) != F.lit(bytes.fromhex(DELETED)))
     return records.select(*keep, *[_value(name, kind).alias(name) for name, kind in columns.items()])
 
 

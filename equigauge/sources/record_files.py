@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import AbstractContextManager
-from typing import BinaryIO, Callable, Mapping
+from typing import BinaryIO, Callable, Mapping, Sequence
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from equigauge.session import staged
@@ -27,8 +27,10 @@ from equigauge.sources.fixed_width import (
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 #: A range is about this long, and so is what one task reads.
 RANGE_BYTES = 64 << 20
-#: A range comes out in pieces of about this size, each a row.
+#: A range comes out in pieces of about this size, each a row; small ones share a batch of it.
 PIECE_BYTES = 1 << 20
+#: What records get from their file.
+KEPT = ("path", "name")
 
 
 def opened(path: str) -> AbstractContextManager[BinaryIO]:
@@ -77,7 +79,10 @@ def read_headers(files: DataFrame) -> DataFrame:
 
 
 def record_ranges(
-    headers: DataFrame, columns: Mapping[str, str], range_bytes: int = RANGE_BYTES
+    headers: DataFrame,
+    columns: Mapping[str, str],
+    range_bytes: int = RANGE_BYTES,
+    keep: Sequence[str] = KEPT,
 ) -> DataFrame:
     """A row for each range of records: where it starts in its file, and its length."""
     size = F.col("record_length")
@@ -86,7 +91,7 @@ def record_ranges(
     return (
         headers.filter("status = 'ok' AND records > 0")
         .select(
-            "path", "name", "header_length", "record_length", "records",
+            *keep, "header_length", "record_length", "records",
             each.alias("_each"), *wanted_fields(columns), starts.alias("_first"),
         )
         .withColumn("at", F.col("header_length") + F.col("_first") * size)
@@ -98,19 +103,30 @@ def record_ranges(
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans = zip(*(batch.column(c).to_pylist() for c in ("path", "at", "size", "record_length")))
+        rows, held, length = [], [], 0
         for row, (path, at, size, record) in enumerate(spans):
             piece = max(PIECE_BYTES // record, 1) * record
-            own = batch.slice(row, 1)
             with opened(path) as file:
                 file.seek(at)
                 for start in range(0, size, piece):
                     data = file.read(min(piece, size - start))
                     if len(data) != min(piece, size - start):
                         raise OSError(f"{path} is shorter than when it was listed")
-                    yield pa.RecordBatch.from_arrays(
-                        [*own.columns, pa.array([data], pa.binary())],
-                        names=[*own.schema.names, "_chunk"],
-                    )
+                    rows.append(row)
+                    held.append(data)
+                    length += len(data)
+                    if length >= PIECE_BYTES:
+                        yield _with_chunks(batch, rows, held)
+                        rows, held, length = [], [], 0
+        if rows:
+            yield _with_chunks(batch, rows, held)
+
+
+def _with_chunks(batch: pa.RecordBatch, rows: list[int], chunks: list[bytes]) -> pa.RecordBatch:
+    own = batch.take(pa.array(rows))
+    return pa.RecordBatch.from_arrays(
+        [*own.columns, pa.array(chunks, pa.binary())], names=[*own.schema.names, "_chunk"]
+    )
 
 
 def read_ranges(
@@ -118,10 +134,11 @@ def read_ranges(
     columns: Mapping[str, str],
     range_bytes: int = RANGE_BYTES,
     stage: Callable[[DataFrame, str], DataFrame] = staged,
+    keep: Sequence[str] = KEPT,
 ) -> DataFrame | None:
-    """path, name and the wanted columns of all records; None where no file has any."""
+    """Columns of the file to keep and the wanted ones of all records; None where no file has any."""
     spark = headers.sparkSession
-    ranges = stage(record_ranges(headers, columns, range_bytes), "record-ranges")
+    ranges = stage(record_ranges(headers, columns, range_bytes, keep), "record-ranges")
     n, size = ranges.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     if n == 0:
         return None
@@ -129,7 +146,7 @@ def read_ranges(
     tasks = min(n, max(-(-size // RANGE_BYTES), spark.sparkContext.defaultParallelism))
     schema = StructType([*ranges.schema.fields, StructField("_chunk", BinaryType())])
     pieces = ranges.repartition(int(tasks)).mapInArrow(_pieces, schema)
-    return decode_chunks(pieces, columns, ["path", "name"])
+    return decode_chunks(pieces, columns, keep)
 
 
 def read_record_files(
@@ -137,17 +154,21 @@ def read_record_files(
     path: str,
     columns: Mapping[str, str] | None = None,
     range_bytes: int = RANGE_BYTES,
+    of_file: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Records of all files below a folder; files without a sound header are left out.
 
-    Without ``columns``, all columns of all headers.
+    Without ``columns``, all columns of all headers. ``of_file`` are expressions over path and name
+    that are computed once a file and kept with its records.
     """
     files = list_record_files(spark, path)
-    headers = staged(read_headers(files), "record-headers")
+    headers = staged(read_headers(files).withColumns(dict(of_file or {})), "record-headers")
+    keep = [*KEPT, *(of_file or {})]
     if columns is None:
         columns = header_columns(headers.select("path", "length", "content"))
-    records = read_ranges(headers, columns, range_bytes)
+    records = read_ranges(headers, columns, range_bytes, keep=keep)
     if records is None:
         kinds = ", ".join(f"`{c}` {'double' if k == 'number' else 'string'}" for c, k in columns.items())
-        return spark.createDataFrame([], f"path string, name string, {kinds}")
+        files_own = ", ".join(f"`{c}` {headers.schema[c].dataType.simpleString()}" for c in keep)
+        return spark.createDataFrame([], f"{files_own}, {kinds}")
     return records

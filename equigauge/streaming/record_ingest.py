@@ -22,11 +22,12 @@ from equigauge.functions.text import file_name_parts
 from equigauge.session import complete_folders, delete_folder, staged
 from equigauge.sinks.cells import CellStore
 from equigauge.sources.record_files import (
-    FILE_SCHEMA, RANGE_BYTES, list_record_files, listed, read_headers, read_ranges,
+    FILE_SCHEMA, KEPT, RANGE_BYTES, list_record_files, listed, read_headers, read_ranges,
 )
 
 REJECT_LIMIT = 60
 OTHER_NAME = "other name"
+NAME_PARTS = ("state", "year", "month")
 
 
 class TooManyRejects(ValueError):
@@ -121,13 +122,17 @@ class RecordIngest:
             raise TooManyRejects(f"{self.reject_limit} or more files were rejected")
 
     def _write_rows(self, headers: DataFrame, batch: int) -> tuple[int, int, int]:
-        records = read_ranges(headers, self.columns, self.range_bytes, self.scratch(batch))
+        # Parts of the name come with the headers, once a file, and go before columns of their names.
+        own = {n: kind for n, kind in self.columns.items() if n.lower() not in NAME_PARTS}
+        records = read_ranges(
+            headers, own, self.range_bytes, self.scratch(batch), [*KEPT, *NAME_PARTS]
+        )
         if records is None:
             # An attempt before, of other files, may have left some.
             delete_folder(headers.sparkSession, self.folder("rows", batch))
             return 0, 0, 0
         before, after = Observation(), Observation()
-        named = records.withColumns(file_name_parts(F.col("name"), self.years))
+        named = records.select(*KEPT, *own, *NAME_PARTS)
         rows = self.transform(named.observe(before, F.count(F.lit(1)).alias("read")))
         undefined = F.count_if(F.col("band").isNull()) if "band" in rows.columns else F.lit(0)
         watched = rows.observe(
