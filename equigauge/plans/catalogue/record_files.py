@@ -9,7 +9,7 @@ from equigauge.operators.cohort import to_bronze
 from equigauge.operators.validate import completeness_of, expected_files, missing_inputs
 from equigauge.operators.rollup import SILVER_KEYS, roll_up
 from equigauge.plans.catalogue.base import on_layers, query, rounded
-from equigauge.session import stage_path
+from equigauge.session import stage_path, staged
 from equigauge.sinks.cells import CellStore
 from equigauge.sinks.files import BYTE_ORDER_MARK, decimal_comma
 from equigauge.sinks.record_files import Field, write_named, write_record_files
@@ -71,9 +71,9 @@ SELECT year, month, count(*) AS cases, count_if(severe) AS severe, CAST(sum(deat
 FROM bronze GROUP BY year, month"""))
 def record_file_ranges(d) -> DataFrame:
     """The cohort from record files on disk, a file read by several ranges."""
-    records = read_record_files(d.spark, write_admissions(d), COLUMNS, SMALL_RANGE)
-    named = records.withColumns(file_name_parts(F.col("name"), YEARS))
-    return to_bronze(named, d.study).groupBy("year", "month").agg(
+    parts = file_name_parts(F.col("name"), YEARS)
+    records = read_record_files(d.spark, write_admissions(d), COLUMNS, SMALL_RANGE, parts)
+    return to_bronze(records, d.study).groupBy("year", "month").agg(
         F.count("*").alias("cases"),
         F.count_if("severe").alias("severe"),
         F.sum("death").cast("long").alias("deaths"),
@@ -225,9 +225,10 @@ FROM bronze GROUP BY year"""))
 def drifting_tree(d) -> DataFrame:
     """The cohort from a tree whose first half years lack a column and have narrower numbers."""
     path = stage_path(d.spark, "drifting")
+    raw = staged(d.raw, "raw")
     types = {"IDADE": ("tinyint", "bigint"), "DIAS_PERM": ("smallint", "int"), "VAL_TOT": ("decimal(12,2)", "decimal(16,4)")}
     for half, months in enumerate(("month <= 6", "month > 6")):
-        part = d.raw.filter(months).withColumns({n: F.col(n).cast(t[half]) for n, t in types.items()})
+        part = raw.filter(months).withColumns({n: F.col(n).cast(t[half]) for n, t in types.items()})
         part = part.drop("PROC_REA") if half == 0 else part
         part.withColumn("half", F.lit(half)).write.mode("append").partitionBy("half", "year").parquet(path)
     return to_bronze(read_drifting_tree(d.spark, path), d.study).groupBy("year").agg(
