@@ -39,7 +39,7 @@ def write_admissions(d) -> str:
         F.col("code").alias("MUNIC_RES"), F.left("region", F.lit(2)).alias("_state")
     )
     two = lambda name: F.lpad((F.col(name) % 100).cast("string"), 2, "0")
-    records = d.raw.join(region, "MUNIC_RES").withColumn(
+    records = d.raw_with(region).withColumn(
         "_name", F.concat(F.lit("RD"), "_state", two("year"), two("month"))
     )
     path = stage_path(d.spark, "admissions")

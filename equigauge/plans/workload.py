@@ -132,13 +132,24 @@ class Layers:
     @cached_property
     def raw(self) -> DataFrame:
         """Admission records with the raw column names, year and month."""
+        return self.raw_with()
+
+    def raw_with(self, attributes: DataFrame | None = None) -> DataFrame:
+        """The records, and attributes of their short code (MUNIC_RES), where there are any.
+
+        Those meet the orders, which are fewer and shorter than the records; a code without
+        attributes has no records then.
+        """
         lines = self.table("lineitem").select(
             "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
             "l_extendedprice", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
         )
         orders = self.table("orders").select(
-            "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"
+            "o_orderkey", entity_code(F.col("o_custkey")).alias("MUNIC_RES"), "o_orderstatus", "o_orderdate"
         )
+        extra = [] if attributes is None else [c for c in attributes.columns if c != "MUNIC_RES"]
+        if attributes is not None:
+            orders = orders.join(attributes, "MUNIC_RES")
         parts = self.table("part").select("p_partkey", "p_type", "p_size")
         size = F.col("p_size")
         unit = (
@@ -164,7 +175,7 @@ class Layers:
             lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
             .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .select(
-                entity_code(F.col("o_custkey")).alias("MUNIC_RES"),
+                "MUNIC_RES",
                 sex.alias("SEXO"),
                 F.col("l_quantity").cast("int").alias("IDADE"),
                 unit.alias("COD_IDADE"),
@@ -178,6 +189,7 @@ class Layers:
                 F.datediff("l_shipdate", "o_orderdate").alias("DIAS_PERM"),
                 F.year("o_orderdate").alias("year"),
                 F.month("o_orderdate").alias("month"),
+                *extra,
             )
         )
 
