@@ -102,11 +102,11 @@ def encode_shards(docs: DataFrame, source: str, bounds: list[int], end_id: int |
     cuts = np.array(bounds, dtype=np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = vocab.lower_case_coder(source, kind)
+        code = vocab.lower_case_coder(source, kind).many
         for batch in small_batches(batches):
             numbers = batch.column("doc_id")
             known = numbers.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-            ids = [code(t or "") + end for t in batch.column("text").to_pylist()]
+            ids = [x + end for x in code([t or "" for t in batch.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.searchsorted(cuts, known, side="left").astype(np.int32)),

@@ -40,6 +40,39 @@ def test_words_as_the_library_splits_them(sources):
         assert np.frombuffer(code(text), "<u2").tolist() == vocab.load(word).encode(text, add_special_tokens=False).ids
 
 
+def test_many_texts_are_split_as_each_alone(sources, monkeypatch):
+    byte, word = sources
+    quotes = ["'s", "''s", "a's's'll", "1're", "x 's", "\n's", "a'sb", "'", "'l", "!'t", "  's \n", "\t\tb", " \n", "É'S"]
+    texts = [*strange_texts(), *quotes, "", "", *quotes]
+    split, whole = vocab.spaced_splitter(byte), vocab.load(word)
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for chunk in (2, 64, 1 << 20):
+        monkeypatch.setattr(vocab, "CHUNK", chunk)
+        got, seen = [], []
+        for start, end, words in vocab.spaced_words(byte)(texts):
+            assert len(set(words.different)) == len(words.different)
+            got += [[words.different[k] for k in words.index[words.of(i)]] for i in range(end - start)]
+            seen += range(start, end)
+        assert got == [split(t) for t in texts] and seen == list(range(len(texts)))
+        packed = vocab.LowerCaseCoder(word, limit=50).many(texts)
+        assert [np.frombuffer(x, "<u2").tolist() for x in packed] == want
+
+
+def test_known_words_are_looked_up_once_for_many_texts(sources):
+    """The cost of op9: a word met again in a batch costs no look-up, a word known no encoding."""
+    coder, asked = vocab.LowerCaseCoder(sources[1]), []
+
+    class Codes(dict):
+        def get(self, key, default=None):
+            asked.append(key)
+            return super().get(key, default)
+
+    coder.codes = Codes()
+    first = coder.many(["One two, two one."] * 500)
+    assert sorted(asked) == [b",", b".", b"one", b"two"] and len(set(first)) == 1
+    assert coder.many(["two"]) == [coder.whole("two")] and len(coder.codes) == 4
+
+
 def rows(prose):
     texts = [*strange_texts(), *[prose(300, i) for i in range(20)], prose(8000), None]
     out = [(i * 3 % 500, t, "s") for i, t in enumerate(texts)]
