@@ -17,6 +17,9 @@ size, so the join is done inside the tasks; bytes that are no UTF-8 become repla
 Positions are keyed by a 128-bit digest of the text, so copies of a text share them, and each task
 reports the words of a text it has seen before only once.
 
+Tasks work on arrays of the words of many texts (see ``vocab``), each different word being looked
+up once; what a task holds is bounded by ``vocab.CHUNK`` characters, or the longest text.
+
 Defined cases: a null text is empty and has no ids; repeated rows give a row each; special tokens
 in a text get their own ids; an empty table gives an empty result; other columns are ignored.
 """
@@ -43,6 +46,8 @@ HOT_WORDS = 327_680
 HOT_CHARS = 32
 #: Words that a task counts, or texts that it remembers, before it starts anew.
 TASK_MEMORY = 200_000
+#: Words whose ids a task puts together at a time; a longer text by itself.
+FILLED_WORDS = 250_000
 
 
 def _key(text: str) -> bytes:
@@ -53,7 +58,7 @@ def word_counts(docs: DataFrame, source: str) -> DataFrame:
     """word and n, in partial counts of the tasks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, counts = vocab.spaced_splitter(source), Counter()
+        split, counts = vocab.spaced_words(source), Counter()
 
         def flush():
             out = pa.RecordBatch.from_arrays(
@@ -63,11 +68,12 @@ def word_counts(docs: DataFrame, source: str) -> DataFrame:
             counts.clear()
             return out
 
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                counts.update(split(text or ""))
-            if len(counts) > TASK_MEMORY:
-                yield flush()
+        for batch in small_batches(batches):
+            for _, _, words in split([t or "" for t in batch.column("text").to_pylist()]):
+                times = np.bincount(words.index, minlength=len(words.different))
+                counts.update(dict(zip(words.different, times.tolist(), strict=True)))
+                if len(counts) > TASK_MEMORY:
+                    yield flush()
         if counts:
             yield flush()
 
@@ -104,20 +110,9 @@ def hot_table(docs: DataFrame, source: str, sample_docs: int, hot_words: int) ->
     return encode_words(counted, source)
 
 
-class HotWords:
-    """Frequent words and their codes; a word's number is its place by frequency, from 1."""
-
-    def __init__(self, words: list[str], codes: list[bytes]):
-        self.words, self.codes, self._numbers = words, [b"", *codes], None
-
-    def __getstate__(self):
-        return {"words": self.words, "codes": self.codes, "_numbers": None}
-
-    @property
-    def numbers(self) -> dict[str, int]:
-        if self._numbers is None:
-            self._numbers = {w: i for i, w in enumerate(self.words, 1)}
-        return self._numbers
+def _numbers_of(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """The numbers of words, 0 for all that are not frequent."""
+    return np.fromiter((known.get(w, 0) for w in words), np.uint32, len(words))
 
 
 def _packed_fills(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,35 +148,52 @@ def _packed_fills(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield batch_of()
 
 
-def _unpacked_fills(packed: bytes | None, spread: zstandard.ZstdDecompressor) -> list[bytes]:
-    if packed is None:
-        return []
-    raw = spread.decompress(packed)
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64) + 4 * (n + 1)
-    starts = [4 * (n + 1), *ends.tolist()]
-    return [raw[a:b] for a, b in zip(starts, starts[1:])]  # noqa: B905
+def _unpacked_fills(packed: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of packed codes of several texts: how many each has, their sizes in ids, and the ids of all."""
+    spread = zstandard.ZstdDecompressor()
+    counts, sizes, ids = [], [np.empty(0, "<u4")], []
+    for raw in (spread.decompress(x) if x is not None else bytes(4) for x in packed):
+        n = int(np.frombuffer(raw, "<u4", 1)[0])
+        counts.append(n)
+        sizes.append(np.frombuffer(raw, "<u4", n, 4))
+        ids.append(raw[4 * (n + 1) :])
+    return (
+        np.array(counts, np.int64),
+        np.concatenate(sizes).astype(np.int64) // width,
+        np.frombuffer(b"".join(ids), f"<u{width}"),
+    )
 
 
-def _filled(batches: Iterator[pa.RecordBatch], hot: HotWords, kind: str) -> Iterator[pa.RecordBatch]:
+def _filled(batches: Iterator[pa.RecordBatch], hot: vocab.Codes, kind: str) -> Iterator[pa.RecordBatch]:
     """doc_id, n_tokens, ids of rows with numbers of words and the codes of the words without."""
-    spread, codes, width = zstandard.ZstdDecompressor(), hot.codes, array(kind).itemsize
+    spread, width = zstandard.ZstdDecompressor(), array(kind).itemsize
     for batch in small_batches(batches):
-        out = []
-        for numbers, fills in zip(
-            batch.column("numbers").to_pylist(), batch.column("fills").to_pylist(), strict=True
-        ):
-            planes = np.frombuffer(spread.decompress(numbers), np.uint8).reshape(3, -1).astype(np.int32)
+        packed, fills = batch.column("numbers").to_pylist(), batch.column("fills").to_pylist()
+        lengths = [zstandard.frame_content_size(x) // 3 for x in packed]
+        for start, end in vocab.ranges(lengths, FILLED_WORDS):
+            planes = [np.frombuffer(spread.decompress(x), np.uint8).reshape(3, -1) for x in packed[start:end]]
+            planes = np.concatenate(planes, axis=1).astype(np.int32)
             words = planes[0] | planes[1] << 8 | planes[2] << 16
-            parts = [codes[i] for i in words.tolist()]
-            gaps = np.flatnonzero(words == 0).tolist()
-            for place, code in zip(gaps, _unpacked_fills(fills, spread), strict=True):
-                parts[place] = code
-            out.append(np.frombuffer(b"".join(parts), f"<u{width}").astype("<u4").tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())],
-            names=["doc_id", "n_tokens", "ids"],
-        )
+            word_ends = np.cumsum([0, *lengths[start:end]])
+            gaps = np.flatnonzero(words == 0)
+            counts, fill_sizes, fill_ids = _unpacked_fills(fills[start:end], width)
+            if (np.diff(np.searchsorted(gaps, word_ends)) != counts).any():
+                raise ValueError("the words of a text do not fill its gaps")
+            sizes, begins = hot.sizes[words], hot.begins[words]
+            sizes[gaps], begins[gaps] = fill_sizes, len(hot.ids) + np.cumsum(fill_sizes) - fill_sizes
+            ids, ends = vocab.gathered(np.concatenate([hot.ids, fill_ids]), begins, sizes)
+            cuts = ends[word_ends]
+            raw = pa.py_buffer(np.ascontiguousarray(ids, "<u4"))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").slice(start, end - start),
+                    pa.array(np.diff(cuts)),
+                    pa.Array.from_buffers(
+                        pa.binary(), end - start, [None, pa.py_buffer((4 * cuts).astype(np.int32)), raw]
+                    ),
+                ],
+                names=["doc_id", "n_tokens", "ids"],
+            )
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], table: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -198,17 +210,19 @@ def _decoded(batches: Iterator[pa.RecordBatch], table: list[bytes]) -> Iterator[
 def _joined_words(
     docs: DataFrame, source: str, sample_docs: int, hot_words: int
 ) -> tuple[DataFrame, Broadcast]:
-    """(doc_id, numbers, fills) of every document, and the frequent words that the numbers name."""
+    """(doc_id, numbers, fills) of every document, and the codes that the numbers name."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    code = vocab.id_type(source)
     top = hot_table(docs, source, sample_docs, min(hot_words, (1 << 24) - 1)).toArrow()
-    hot = docs.sparkSession.sparkContext.broadcast(
-        HotWords(top["word"].to_pylist(), top["ids"].to_pylist())
-    )
+    send = docs.sparkSession.sparkContext.broadcast
+    # A word's number is its place by frequency, from 1.
+    hot = send({w: i for i, w in enumerate(top["word"].to_pylist(), 1)})
+    hot_codes = send(vocab.Codes([b"", *top["ids"].to_pylist()], code))
 
     def find_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known, seen = vocab.spaced_splitter(source), hot.value.numbers, set()
+        split, seen = vocab.spaced_words(source), set()
         for batch in small_batches(batches):
-            keys, places, words = [], [], []
+            texts, keys = [], []
             for text in batch.column("text").to_pylist():
                 key = _key(text)
                 if key in seen:
@@ -216,23 +230,30 @@ def _joined_words(
                 if len(seen) >= TASK_MEMORY:
                     seen.clear()
                 seen.add(key)
-                rare = [(i, w) for i, w in enumerate(split(text)) if w not in known]
-                keys += [key] * len(rare)
-                places += [i for i, _ in rare]
-                words += [w for _, w in rare]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array(places, pa.int32()), pa.array(words, pa.string())],
-                names=["tkey", "place", "word"],
-            )
+                texts.append(text)
+                keys.append(key)
+            for start, end, words in split(texts):
+                rare = _numbers_of(words.different, hot.value) == 0
+                at = np.flatnonzero(rare[words.index])
+                text_of = np.searchsorted(words.ends, at, side="right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(keys[start:end], pa.binary()).take(pa.array(text_of)),
+                        pa.array((at - words.ends[text_of]).astype(np.int32)),
+                        pa.array(words.different, pa.string()).take(pa.array(words.index[at])),
+                    ],
+                    names=["tkey", "place", "word"],
+                )
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known = vocab.spaced_splitter(source), hot.value.numbers.get
+        split = vocab.spaced_words(source)
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in small_batches(batches):
             texts, out = batch.column("text").to_pylist(), []
-            for text in texts:
-                numbers = np.array([known(w, 0) for w in split(text)], "<u4")
-                out.append(squeeze(numbers.view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()))
+            for start, end, words in split(texts):
+                numbers = _numbers_of(words.different, hot.value).astype("<u4")[words.index]
+                planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4)[:, :3].T)
+                out += [squeeze(planes[:, words.of(i)].tobytes()) for i in range(end - start)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(map(_key, texts), pa.binary()), pa.array(out, pa.binary())],
                 names=["doc_id", "tkey", "numbers"],
@@ -252,7 +273,7 @@ def _joined_words(
     )
     kind = dict(docs.dtypes)["doc_id"]
     numbered = docs.mapInArrow(number, f"doc_id {kind}, tkey binary, numbers binary")
-    return numbered.join(fills, "tkey", "left").select("doc_id", "numbers", "fills"), hot
+    return numbered.join(fills, "tkey", "left").select("doc_id", "numbers", "fills"), hot_codes
 
 
 def encode(

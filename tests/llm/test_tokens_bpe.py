@@ -3,7 +3,9 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from equigauge.llm import bpe, tokens, vocab
@@ -91,6 +93,27 @@ def test_round_trip_equals_the_library(documents, prose, sources, hot_words):
     assert sorted((str(r["doc_id"]), r["n_tokens"], bytes(r["ids"]), r["decoded"]) for r in got) == sorted(want)
 
 
+def test_codes_are_filled_in_for_many_rows_at_once(monkeypatch):
+    """The last step of op3 on rows of several ranges: frequent words by number, others from the fills."""
+    hot, squeeze = vocab.Codes([b"", b"\1\0", b"\2\0\3\0"], "H"), zstandard.ZstdCompressor().compress
+    numbers = [[1, 2], [], [0, 1, 0], [2] * 9]
+    planes = [squeeze(bytes(x) + bytes(2 * len(x))) for x in numbers]
+    fills = squeeze(np.array([2, 4, 2], "<u4").tobytes() + b"\7\0\x08\0\x09\0")
+    schema = pa.schema([("doc_id", pa.int64()), ("numbers", pa.binary()), ("fills", pa.binary())])
+
+    def ids_of(*fills):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(planes), pa.array(fills)], schema=schema)
+        rows = [row for out in bpe._filled([batch], hot, "H") for row in out.to_pylist()]
+        return [(r["doc_id"], r["n_tokens"], np.frombuffer(r["ids"], "<u4").tolist()) for r in rows]
+
+    want = [[1, 2, 3], [], [7, 8, 1, 9], [2, 3] * 9]
+    for words in (1, 4, 1000):
+        monkeypatch.setattr(bpe, "FILLED_WORDS", words)
+        assert ids_of(None, None, fills, None) == [(i, len(x), x) for i, x in enumerate(want)]
+    with pytest.raises(ValueError):
+        ids_of(None, None, None, fills)
+
+
 def test_encode_then_decode(documents, prose):
     docs = documents([(1, prose(50), "s"), (2, "é <|endoftext|>", None)])
     back = bpe.decode(bpe.encode(docs, BYTE), BYTE)
