@@ -60,6 +60,15 @@ def test_many_texts_are_split_as_each_alone(sources, monkeypatch):
         assert [np.frombuffer(x, "<u2").tolist() for x in packed] == want
 
 
+def test_words_are_split_in_small_ranges(sources, monkeypatch):
+    """Workers that hold the frequent words split few texts at a time (memory of the pipeline's encode)."""
+    monkeypatch.setattr(vocab, "CHUNK", 8_000)
+    texts = ["word " * 50] * 40 + ["long " * 400, "end"]
+    found = [(start, end) for start, end, _ in vocab.spaced_words(sources[0])(texts)]
+    assert [a for a, _ in found[1:]] == [b for _, b in found[:-1]] and found[-1][1] == len(texts)
+    assert all(sum(map(len, texts[a:b])) <= 1_000 or b - a == 1 for a, b in found)
+
+
 def test_known_words_are_looked_up_once_for_many_texts(sources):
     """The cost of op9: a word met again in a batch costs no look-up, a word known no encoding."""
     coder, asked = vocab.LowerCaseCoder(sources[1]), []
