@@ -13,7 +13,7 @@ from equigauge.operators.export import (
 from equigauge.operators.validate import export_checks
 from equigauge.plans import reports
 from equigauge.plans.catalogue.base import big, on_layers, query, rounded
-from equigauge.session import stage_path
+from equigauge.session import stage_path, swept
 from equigauge.sinks.files import write_locale_csv
 from equigauge.sources.tables import read_locale_csv
 
@@ -204,10 +204,15 @@ SELECT CAST(sum(cases) AS BIGINT) AS source_total, CAST(sum(cases) AS BIGINT) AS
        (SELECT count_if(c_custkey % 500 = 499) FROM entities) = 0 AS passed
 FROM gold"""))
 def export_round_trip(d) -> DataFrame:
-    """The exported facts re-read from locale CSV against their source, and unnamed entities."""
-    facts = fact_table(d.gold).drop("coverage")
+    """The exported facts re-read from locale CSV against their source, and unnamed entities.
+
+    The facts are a hundred rows of text an entity: compressed, and the grid is not shuffled.
+    """
+    d = d.with_silver_staged()
+    facts = fact_table(d.gold_by_entity).drop("coverage")
     path = stage_path(d.spark, "facts")
-    write_locale_csv(facts, path)
+    with swept(d.spark):
+        write_locale_csv(facts, path, compression="gzip")
     numbers = {c: "bigint" for c in ("cases", "severe", "deaths", "population")}
     back = read_locale_csv(d.spark, path, facts.columns, numbers)
     names = d.entities.filter(F.col("c_custkey") % 500 != 499).select("entity", "name")

@@ -7,7 +7,7 @@ a cell is key arithmetic over the customers.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -23,8 +23,8 @@ from equigauge.operators.profiles import (
 from equigauge.operators.rollup import code_lookup, expand_code, label_sex, merge_cells, roll_up
 from equigauge.operators.scale import apply_scale, check_scale, fit_scale, index_change
 from equigauge.operators.standardize import sound, standard_population
-from equigauge.session import spread, staged
-from equigauge.sinks.bucketed import colocate
+from equigauge.session import spread, staged, swept
+from equigauge.sinks.bucketed import bucket_count, colocate, write_bucketed
 from equigauge.sources.nested import all_coverage, annual_coverage
 
 CODE_LENGTH = 12
@@ -207,6 +207,13 @@ class Layers:
         entities = self.table("customer").select(full_code(F.col("c_custkey")).alias("entity"))
         return code_lookup(entities, CODE_LENGTH)
 
+    def with_silver_staged(self) -> Layers:
+        """The same layers over a silver that is written once, where several steps read it."""
+        layers = replace(self)
+        with swept(self.spark):
+            layers.__dict__["silver"] = staged(self.silver, "silver")
+        return layers
+
     @cached_property
     def coded_silver(self) -> DataFrame:
         return expand_code(self.silver, self.lookup)
@@ -267,6 +274,23 @@ class Layers:
     def gold(self) -> DataFrame:
         return self.grid()
 
+    @cached_property
+    def gold_by_entity(self) -> DataFrame:
+        """The grid without coverage, joined bucket by bucket: its rows are many, and none is shuffled."""
+        # A bucket is sorted by all keys in one task; a quarter of the usual rows need not spill.
+        buckets = bucket_count(4 * self.table("customer").count() * self.cells_per_entity)
+        with swept(self.spark):
+            census = write_bucketed(self.census.drop("code"), "census", "entity", buckets)
+            # Merged after they are laid out, which needs no shuffle; no cell has a null entity.
+            coded = label_sex(self.coded_silver, SEX_BY_RECORD_CODE).dropna(subset=["entity"])
+            events = merge_cells(write_bucketed(coded, "events", "entity", buckets))
+        self.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        return dense_grid(census, self.study.years, events)
+
+    @property
+    def cells_per_entity(self) -> int:
+        return len(self.study.sexes) * len(self.study.bands.labels) * len(self.study.years)
+
     @cached_property
     def gold_covered(self) -> DataFrame:
         return self.grid(coverage=True)

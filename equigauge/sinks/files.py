@@ -62,8 +62,11 @@ def locale_columns(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def write_locale_csv(df: DataFrame, path: str) -> None:
-    """``;`` separated, decimal comma, UTF-8 with a byte-order mark at the start of each file."""
+def write_locale_csv(df: DataFrame, path: str, compression: str = "none") -> None:
+    """``;`` separated, decimal comma, UTF-8 with a byte-order mark at the start of each file.
+
+    Compressed files carry the codec in their names, and Spark's readers open them as they are.
+    """
     text = locale_columns(df)
     first, *rest = text.columns
     marked = text.select(F.col(first).alias(BYTE_ORDER_MARK + first), *rest)
@@ -73,5 +76,6 @@ def write_locale_csv(df: DataFrame, path: str) -> None:
         .option("header", "true")
         .option("nullValue", "")
         .option("emptyValue", "")
+        .option("compression", compression)
         .csv(path)
     )

@@ -1,5 +1,8 @@
 """Steps that make many rows out of one, and files of many small ranges, are dealt over tasks and batches."""
 
+import gzip
+import pathlib
+from datetime import date
 from types import SimpleNamespace
 
 import pyarrow as pa
@@ -13,6 +16,7 @@ from equigauge.operators.rollup import first_attributes
 from equigauge.plans import workload
 from equigauge.plans.catalogue import record_files as catalogue
 from equigauge.plans.catalogue.sources import census_bands, census_files
+from equigauge.plans.catalogue.tables import export_round_trip
 from equigauge.plans.workload import TABLES_STUDY, Layers
 from equigauge.session import spread, stage_root, tune
 from equigauge.sinks import record_files as sink
@@ -70,6 +74,52 @@ def test_buckets_are_reckoned_by_the_joined_rows(layers, monkeypatch):
     assert seen == [50 * 14 * 7]
 
 
+@pytest.fixture
+def records(layers, spark):
+    """Lines of orders of the customers, one of an order that no customer has."""
+    top, day = layers.sf_dir, date(1998, 3, 1)
+    orders = [(i, 777 if i == 90 else i % 50, "F", 100.0 * i, day) for i in range(100)]
+    lines = [(i % 100, i % 5, 3, i % 6 + 1, float(i % 50 + 1), 10.5 * i, 0.01 * (i % 8), "RAN"[i % 3], "FO"[i % 2], date(1998, 3, 9))
+             for i in range(600)]
+    parts = [(i, f"{t} X", 4 + i) for i, t in enumerate(["ECONOMY", "STANDARD", "MEDIUM", "PROMO", "LARGE"])]
+    for name, rows, schema in (
+        ("orders", orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate date"),
+        ("lineitem", lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double,"
+         " l_extendedprice double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate date"),
+        ("part", parts, "p_partkey long, p_type string, p_size int"),
+    ):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{top}/{name}.parquet")
+    return layers
+
+
+def test_grid_by_entity_is_the_grid_without_its_shuffle(records, spark, monkeypatch):
+    monkeypatch.setattr(workload, "bucket_count", lambda rows: 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        grid = records.gold_by_entity
+        assert "Exchange" not in grid._jdf.queryExecution().executedPlan().toString()
+        rows = sorted(map(str, grid.collect()))
+        assert rows == sorted(map(str, records.gold.collect())) and len(rows) == 50 * records.cells_per_entity
+        assert grid.agg(F.sum("cases")).first()[0] > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_exported_facts_are_compressed_and_records_read_once(records, spark):
+    top = pathlib.Path(stage_root(spark), "equigauge", spark.sparkContext.applicationId)
+    before = set(top.glob("facts-*"))
+    checks = export_round_trip(records)
+    assert "lineitem.parquet" not in checks._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("lineitem.parquet" in f for f in checks.inputFiles())
+    row = checks.first()
+    assert row["source_total"] == row["exported_total"] == records.cells().agg(F.sum("cases")).first()[0] > 0
+    (facts,) = set(top.glob("facts-*")) - before
+    files = [f for f in facts.iterdir() if f.name.startswith("part-")]
+    assert files and all(f.name.endswith(".csv.gz") for f in files)
+    texts = [gzip.decompress(f.read_bytes()).decode("utf-8-sig") for f in files]
+    assert sum(len(t.splitlines()) - 1 for t in texts if t) == 50 * records.cells_per_entity
+
+
 def test_attributes_are_distinct_before_they_are_sorted(spark):
     df = spark.createDataFrame([("a", None), ("a", "SP"), ("a", "SP"), ("b", None)], "entity string, state string")
     got = first_attributes(df, "entity", ["state"])
